@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.boosting import Isotonic, PairwiseGam, Trees, sigmoid
-from lodestone.llm.common import cut, fold, slices, text_of, words_of
+from lodestone.llm.common import as_strings, cut, fold, slices, text_of, words_of
 from lodestone.llm.features import STEM, canonical, text_features, toxic_features
 
 #: Most labelled rows that a model is fitted on.
@@ -106,7 +106,7 @@ def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words, lengths = words_of(part.column("text"))
             doc = np.repeat(np.arange(part.num_rows), lengths)
             coded = words.dictionary_encode()
-            forms = [canonical(w) for w in coded.dictionary.to_pylist()]
+            forms = [canonical(w) for w in as_strings(coded.dictionary)]
             y = part.column("y").to_numpy(zero_copy_only=False)
             for stem, of in ((False, forms), (True, [w[:STEM] if len(w) > STEM else "" for w in forms])):
                 terms = pa.array(of).dictionary_encode()

@@ -153,3 +153,30 @@ def load_tokenizer(config: str):
     from tokenizers import Tokenizer
 
     return Tokenizer.from_str(config)
+
+
+def broadcast_object(spark: SparkSession, value):
+    """Broadcast an object of this package; gives a function that returns it, unpacked once in each Python worker."""
+    from pyspark import cloudpickle
+
+    packed, key = spark.sparkContext.broadcast(cloudpickle.dumps(value)), uuid.uuid4().hex
+
+    def unpacked():
+        import pickle
+
+        return worker_state(key, lambda: pickle.loads(packed.value))
+
+    return unpacked
+
+
+def as_bytes(strings: pa.Array) -> list[bytes]:
+    """The values of a string or binary array without nulls; much faster than to_pylist()."""
+    if not len(strings):
+        return []
+    offsets = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1].tolist()
+    data = strings.buffers()[2].to_pybytes() if strings.buffers()[2] else b""
+    return [data[a:z] for a, z in zip(offsets, offsets[1:])]
+
+
+def as_strings(strings: pa.Array) -> list[str]:
+    return strings.to_numpy(zero_copy_only=False).tolist()

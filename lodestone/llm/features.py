@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from lodestone.llm.common import words_of
+from lodestone.llm.common import as_strings, words_of
 
 # Byte classes, second-person words, plain insults and look-alike characters.
 BYTE_CLASSES = ["other", "upper", "lower", "digit", "space", "newline", "high", "!", "?", ".,;:", "|", "#%$&*", "@/\\", "-_=+~^", "()[]{}<>", "\"'`"]
@@ -36,7 +36,9 @@ STEM = 5
 
 def canonical(word: str) -> str:
     """The word without marks at its ends; if marks or digits stand inside, look-alikes become letters and the rest goes."""
-    w = _EDGES.sub("", word)
+    if word.isalpha():
+        return word
+    w = word[:-1] if word[:-1].isalpha() and word[-1] in ".,;:!?" else _EDGES.sub("", word)
     return _INNER.sub("", w.translate(LOOKALIKES)) if _INNER.search(w) else w
 
 
@@ -98,11 +100,15 @@ def toxic_features(texts: pa.Array, lexicon: dict[str, float], stems: dict[str,
     some = np.maximum(lengths, 1)
     coded = words.dictionary_encode()
     ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    props = np.zeros((len(coded.dictionary), 5))
-    for i, word in enumerate(coded.dictionary.to_pylist()):
-        w = canonical(word)
-        props[i] = lexicon.get(w, 0.0), stems.get(w[:STEM], 0.0), w in INSULTS, w in SECOND_PERSON, bool(w) and bool(_INNER.search(_EDGES.sub("", word)))
-    weight, stem, insult, person, hidden = (props[ids, k] for k in range(5))
+    names = as_strings(coded.dictionary)
+    forms = [canonical(w) for w in names]
+    props = np.zeros((5, len(names)))
+    props[0] = [lexicon.get(w, 0.0) for w in forms]
+    props[1] = [stems.get(w[:STEM], 0.0) for w in forms]
+    props[2] = [w in INSULTS for w in forms]
+    props[3] = [w in SECOND_PERSON for w in forms]
+    props[4] = [f not in w for f, w in zip(forms, names)]  # something inside was replaced or removed
+    weight, stem, insult, person, hidden = (props[k, ids] for k in range(5))
     hit = (weight > 0) | (stem > 0) | (insult > 0)
     at = np.nonzero(hit)[0]
     near = np.zeros(len(at), bool)

@@ -9,16 +9,19 @@ length and look up their place, so the plan's size depends on the window and not
 
 from __future__ import annotations
 
+import gc
 import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, load_tokenizer, slices, text_of, worker_state
+from lodestone.llm.common import as_strings, cut, load_tokenizer, slices, text_of, worker_state
 
 #: Fixed value: the id that ends a document.
 END_ID = 2
@@ -28,28 +31,80 @@ WINDOW = 4096
 # --- ids ----------------------------------------------------------------------------------------------------------------------
 
 
+#: What a word consists of for the tokenizer once it is in lower case and white space is gone: the reading of its split pattern.
+_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
+_MARKS = frozenset(".,;:!?")
+
+
 class WordIds:
-    """Ids of texts for a tokenizer that drops white space: each stretch between ASCII white space is encoded once and kept."""
+    """Ids of texts for a tokenizer that drops white space and marks the last token of each word.
+
+    Each stretch between ASCII white space is looked up in a bounded cache; unknown ones of Latin letters are cut into words, and unknown
+    words encoded together in one string, whose ids part again at the marked ends. Other stretches go to the tokenizer as they are.
+    """
 
     def __init__(self, config: str, room: int):
-        kinds = json.dumps(json.loads(config)["pre_tokenizer"])
+        facts = json.loads(config)
+        kinds = json.dumps(facts["pre_tokenizer"])
         assert '"Removed"' in kinds and "\\\\s" in kinds, "the tokenizer must drop white space between words"
-        self.tokenizer, self.room, self.known = load_tokenizer(config), room, {}
+        self.special = [t["content"] for t in facts.get("added_tokens") or []]
+        suffix = facts["model"].get("end_of_word_suffix")
+        vocabulary = facts["model"]["vocab"]
+        self.last = np.zeros(max([*vocabulary.values(), 0]) + 1, bool)
+        self.last[[i for w, i in vocabulary.items() if suffix and w.endswith(suffix)]] = True
+        self.joins = bool(suffix)
+        self.tokenizer, self.room, self.stretches, self.words = load_tokenizer(config), room, {}, {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(texts), 4096):
+            out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
+        return out
+
+    def learn_words(self, words: list[str]) -> None:
+        for at in range(0, len(words), 256):
+            some = words[at : at + 256]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.nonzero(self.last[ids])[0] + 1
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                raw, ends = ids.tobytes(), (ends * 4).tolist()
+                self.words.update((w, raw[a:z]) for w, a, z in zip(some, [0, *ends], ends))
+            else:
+                self.words.update(zip(some, self.encode(some)))
+
+    def learn(self, unseen: list[str]) -> None:
+        cut_up, odd = [], []
+        together = "\n".join(unseen)
+        special = [x for x in self.special if x in together]
+        for s in unseen:
+            # below U+0250 lower case and composition are the same for every version of Unicode and letter by letter
+            if not self.joins or not (s.isascii() or (max(s) < "\u0250" and "\xa0" not in s and "\x85" not in s)) or any(x in s for x in special):
+                odd.append(s)
+            elif s.isalpha():
+                cut_up.append((s, [s.lower()]))
+            elif s[-1:] in _MARKS and s[:-1].isalpha():
+                cut_up.append((s, [s[:-1].lower(), s[-1]]))
+            else:
+                cut_up.append((s, _PARTS.findall(s.lower())))
+        new = list({w for _, parts in cut_up for w in parts}.difference(self.words))
+        if len(self.words) + len(new) > self.room:
+            self.words, new = {}, list({w for _, parts in cut_up for w in parts})
+        self.learn_words(new)
+        get = self.words.__getitem__
+        self.stretches.update((s, b"".join(map(get, parts))) for s, parts in cut_up)
+        self.stretches.update(zip(odd, self.encode(odd)))
 
     def __call__(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids (unsigned 32-bit) of the texts one after another, end after each, and how many each text has."""
-        import pyarrow.compute as pc
-
         parts = pc.ascii_split_whitespace(texts)
         coded = parts.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        unseen = [w for w in words if w not in self.known]
-        if len(self.known) + len(unseen) > self.room:
-            self.known, unseen = {}, words
-        for at in range(0, len(unseen), 4096):
-            some = unseen[at : at + 4096]
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)))
-        blobs = [self.known[w] for w in words]
+        words = as_strings(coded.dictionary)
+        unseen = [w for w in words if w not in self.stretches]
+        if len(self.stretches) + len(unseen) > self.room:
+            self.stretches, unseen = {}, words
+        self.learn(unseen)
+        blobs = [self.stretches[w] for w in words]
         pool = np.frombuffer(b"".join(blobs), "<u4")
         size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
         begin = np.cumsum(size) - size
@@ -67,15 +122,16 @@ class WordIds:
         return ids, lengths
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end: int = END_ID, room: int = 400_000, keep_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end: int = END_ID, room: int = 700_000, keep_ids: bool = False) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): every document's ids and its end id, cut at multiples of window."""
     with open(tokenizer_path, encoding="utf-8") as f:
         config = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # hundreds of thousands of live strings and no cycles
         encode = worker_state(("word-ids", tokenizer_path), lambda: WordIds(config.value, room))
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 8 << 20):
                 ids, lengths = encode(part.column("text"), end)
                 n = -(-lengths // window)
                 doc = np.repeat(np.arange(len(n)), n)

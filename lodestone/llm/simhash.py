@@ -13,12 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, lowest_labels, partitions, runs_of, slices, text_of, whole_runs
+from lodestone.llm.common import as_bytes, cut, lowest_labels, partitions, runs_of, slices, text_of, whole_runs
 from lodestone.llm.graph import components
 
 SEED = 42
@@ -52,8 +51,8 @@ def fingerprint(text: bytes, width: int = 3, block: int = 1 << 14) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
-            texts = part.column("text").cast(pa.binary())
-            fp = np.fromiter((fingerprint(t.as_py()) for t in texts), np.int64, len(texts))
+            texts = as_bytes(part.column("text"))
+            fp = np.fromiter(map(fingerprint, texts), np.int64, len(texts))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
 
 
