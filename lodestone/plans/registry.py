@@ -1,4 +1,461 @@
-"""Queries by name and their SQL."""
+"""Queries by name over the driver's tables, each with DuckDB SQL for the same rows where SQL can express it.
 
-QUERIES = {}
-ORACLE_SQL = {}
+Tables without dates, captions or table cells get such text derived from their columns, the same way on both sides.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lodestone.functions import text as T
+from lodestone.operators import context, documents, media, search
+from lodestone.sources import files
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+#: Keyword queries of the search examples.
+ASKED = [(0, "the quality of the idiot thanedble stand"), (1, "que les para tion mente"), (2, "password license rights reserved")]
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def asked(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(ASKED, "query_id int, query string")
+
+
+def pick(values: list, at: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
+
+
+def _list(values: list) -> str:
+    return "[" + ", ".join("'" + str(v).replace("'", "''") + "'" if isinstance(v, str) else str(v) for v in values) + "]"
+
+
+# --- text ---------------------------------------------------------------------------------------------------------------------
+
+_TOKENS = r"list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[^a-z0-9\s]', ' ', 'g'), '\s+'), lambda t: length(t) > 2)"
+_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_SENTENCES = r"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+([A-Z])', '\1' || chr(31) || '\2', 'g'), chr(31)), lambda s: " + _STRIP.format("s") + "), lambda s: s <> '')"
+
+
+@query(f"select doc_id, len(t)::int as n_tokens, len(list_distinct(t))::int as n_distinct from (select doc_id, {_TOKENS.format('text')} as t from documents)")
+def bm25_tokenize_stats(spark, sf_dir):
+    t = T.search_tokens(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_distinct"))
+
+
+@query(f"select doc_id, len(s)::int as n_sentences, list_sum(list_transform(s, lambda x: length(x)))::bigint as n_chars, s[1] as first from (select doc_id, {_SENTENCES} as s from documents)")
+def sentence_split(spark, sf_dir):
+    s = T.sentences(F.col("text"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", s.alias("s"))
+    total = F.aggregate("s", F.lit(0).cast("long"), lambda n, x: n + F.length(x))
+    return rows.select("doc_id", F.size("s").alias("n_sentences"), F.when(F.size("s") > 0, total).alias("n_chars"), F.try_element_at("s", F.lit(1)).alias("first"))
+
+
+@query()
+def sentence_chunks_fold(spark, sf_dir):
+    return documents.chunk_rows(table(spark, sf_dir, "documents"))
+
+
+_STOPS = _list(T.STOP_AUDIO)
+
+
+@query(
+    rf"""with w as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as pos from (select doc_id, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{4,}}', 0), lambda x: not list_contains({_STOPS}, x)) as ws from documents)),
+c as (select doc_id, word, count(*) as n, min(pos) as first from w group by all),
+r as (select *, row_number() over (partition by doc_id order by n desc, first) as rank from c)
+select doc_id, rank::int as rank, word, n from r where rank <= 10"""
+)
+def keyword_topn(spark, sf_dir):
+    return context.keywords(table(spark, sf_dir, "documents"), T.keyword_tokens(F.col("text"), T.STOP_AUDIO), 10)
+
+
+_ORDER_TEXT = "'Order ' || o_orderkey || ' of ' || strftime(o_orderdate, '%m/%d/%Y') || ' due ' || strftime(o_orderdate, '%d-%m-%y') || ' at 10:' || lpad((o_orderkey % 60)::varchar, 2, '0') || ' PM for $' || (cast(round(o_totalprice * 100) as bigint) // 100) || '.' || lpad((cast(round(o_totalprice * 100) as bigint) % 100)::varchar, 2, '0') || ' and $5'"
+
+
+def _order_text() -> Column:
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    return F.concat(
+        F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(" of "), F.date_format("o_orderdate", "MM/dd/yyyy"), F.lit(" due "), F.date_format("o_orderdate", "dd-MM-yy"), F.lit(" at 10:"), two(F.col("o_orderkey") % 60),
+        F.lit(" PM for $"), F.floor(cents / 100).cast("string"), F.lit("."), two(cents % 100), F.lit(" and $5"),
+    )
+
+
+@query(
+    rf"""select o_orderkey, array_to_string(list_sort(list_distinct(list_concat(list_concat(regexp_extract_all(t, '{T.DATE}', 0)[1:5], regexp_extract_all(t, '{T.TIME}', 0)[1:5]), regexp_extract_all(t, '{T.AMOUNT}', 0)[1:5]))), '|') as entities
+from (select o_orderkey, {_ORDER_TEXT} as t from orders)"""
+)
+def entity_extract(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(T.entities(_order_text()), "|").alias("entities"))
+
+
+_TALK = [
+    "We discuss the agenda", "The project deadline and the milestone moved", "The API of the database server", "Budget, cost and revenue",
+    "A plan, a roadmap and a budget for the project deliverable", "Nothing of note",
+]
+
+
+@query(
+    f"""select p_partkey, array_to_string(list_filter([{", ".join(f"case when {' + '.join(f'contains(t, {chr(39)}{s}{chr(39)})::int' for s in signs)} >= 2 then '{name}' end" for name, signs in T.TOPICS.items())}], lambda x: x is not null), '|') as topics
+from (select p_partkey, lower({_list(_TALK)}[p_partkey % 6 + 1] || '. ' || {_list(_TALK)}[p_size % 6 + 1] || ' ' || p_name) as t from part)"""
+)
+def topic_tags(spark, sf_dir):
+    text = F.concat(pick(_TALK, F.col("p_partkey") % 6), F.lit(". "), pick(_TALK, F.col("p_size") % 6), F.lit(" "), "p_name")
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(T.topics(text), "|").alias("topics"))
+
+
+_CAPTIONS = ["Table 2.1: Revenue by region", "figure 3", "Chart 4. Growth", "see Table 5: not at the start", "  DIAGRAM 12  flow of goods ", "Tables 7", "Text without a number"]
+
+
+@query(
+    rf"""select p_partkey, nullif(regexp_extract(t, '{T.CAPTION}', 2), '') as number,
+case when regexp_extract(t, '{T.CAPTION}', 2) = '' then null else upper(regexp_extract(t, '{T.CAPTION}', 1)[1]) || lower(regexp_extract(t, '{T.CAPTION}', 1)[2:]) || ' ' || regexp_extract(t, '{T.CAPTION}', 2)
+|| case when {_STRIP.format(f"regexp_extract(t, '{T.CAPTION}', 3)")} = '' then '' else ': ' || {_STRIP.format(f"regexp_extract(t, '{T.CAPTION}', 3)")} end end as title
+from (select p_partkey, {_STRIP.format(_list(_CAPTIONS) + "[p_partkey % 7 + 1]")} as t from part)"""
+)
+def caption_parse(spark, sf_dir):
+    text = pick(_CAPTIONS, F.col("p_partkey") % 7)
+    return table(spark, sf_dir, "part").select("p_partkey", T.caption_number(text).alias("number"), T.caption_title(text).alias("title"))
+
+
+# --- search -------------------------------------------------------------------------------------------------------------------
+
+_Q = "q as (select * from (values " + ", ".join(f"({i}, '{t}')" for i, t in ASKED) + ") as v(query_id, query))"
+_BM25 = f"""tok as (select doc_id, text, {_TOKENS.format("text")} as t from documents),
+size_ as (select count(*)::double as n, avg(len(t)) as avgdl from tok),
+df as (select term, count(*)::double as df from (select unnest(list_distinct(t)) as term from tok) group by term),
+idf0 as (select term, ln(n - df + 0.5::double) - ln(df + 0.5::double) as idf from df, size_),
+mean_ as (select avg(idf) as m from idf0),
+idf as (select term, case when idf < 0 then 0.25::double * m else idf end as idf from idf0, mean_),
+qt as (select query_id, term, count(*)::double as qtf from (select query_id, unnest({_TOKENS.format("query")}) as term from q) group by all),
+post as (select doc_id, dl, term, count(*)::double as tf from (select doc_id, len(t)::double as dl, unnest(t) as term from tok) where term in (select term from qt) group by all),
+raw as (select query_id, doc_id, round(sum(qtf * idf * tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * dl / avgdl))), 6) as raw from post join qt using (term) join idf using (term), size_ group by all),
+ranked as (select *, row_number() over (partition by query_id order by raw desc, doc_id desc) as rank from raw),
+bm as (select query_id, rank, doc_id, round(raw / case when max(raw) over (partition by query_id) > 0 then max(raw) over (partition by query_id) else 1 end, 6) as score from ranked where rank <= 25),
+bm25 as (select * from bm where score > 0)"""
+_SEM = """sem0 as (select b.vec_id::int as query_id, a.vec_id as doc_id, round(list_inner_product(a.embedding::double[], b.embedding::double[]), 6) as score from embeddings a, embeddings b where b.vec_id < 3),
+sem as (select * from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from sem0) where rank <= 25)"""
+
+
+def _fused(lists: list[str], name: str = "rrf") -> str:
+    union = " union all ".join(f"select query_id, rank, doc_id, {i} as list_no from {x}" for i, x in enumerate(lists))
+    return f"""{name}0 as (select query_id, doc_id, round(sum(1.0::double / (60 + rank)), 6) as score, min(list_no * 100000 + rank) as seen from ({union}) group by all),
+{name} as (select query_id, row_number() over (partition by query_id order by score desc, seen, doc_id) as rank, doc_id, score from {name}0)"""
+
+
+def vector_queries(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").filter("vec_id < 3").select(F.col("vec_id").cast("int").alias("query_id"), F.col("embedding").alias("query_embedding"))
+
+
+def vectors(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+
+
+@query(f"with {_Q},\n{_BM25}\nselect query_id, rank::int as rank, doc_id, score from bm25")
+def bm25_topk(spark, sf_dir):
+    return search.bm25(table(spark, sf_dir, "documents"), asked(spark))
+
+
+@query(f"with {_SEM}\nselect query_id, rank::int as rank, doc_id, score from sem")
+def semantic_topk(spark, sf_dir):
+    return search.semantic(vectors(spark, sf_dir), vector_queries(spark, sf_dir))
+
+
+@query(f"with {_Q},\n{_BM25},\n{_SEM},\n{_fused(['sem', 'bm25'])}\nselect query_id, rank::int as rank, doc_id, score from rrf")
+def rrf_fusion(spark, sf_dir):
+    return search.fuse([semantic_topk(spark, sf_dir), bm25_topk(spark, sf_dir)])
+
+
+@query(f"with {_Q},\n{_BM25},\n{_SEM},\n{_fused(['sem', 'bm25'])}\nselect query_id, rank::int as rank, doc_id, score from rrf where rank <= 15")
+def hybrid_search(spark, sf_dir):
+    queries = asked(spark).join(vector_queries(spark, sf_dir), "query_id")
+    return search.hybrid(table(spark, sf_dir, "documents"), vectors(spark, sf_dir), queries)
+
+
+@query(
+    f"""with {_Q},\n{_BM25},\n{_SEM},
+img as (select query_id, row_number() over (partition by query_id order by score, doc_id) as rank, doc_id from sem0 qualify rank <= 10),
+{_fused(["sem", "img", "bm25"])}\nselect query_id, rank::int as rank, doc_id, score from rrf where rank <= 10"""
+)
+def multimodal_fusion(spark, sf_dir):
+    away = vector_queries(spark, sf_dir).withColumn("query_embedding", F.transform("query_embedding", lambda x: -x))
+    return search.fuse([semantic_topk(spark, sf_dir), search.semantic(vectors(spark, sf_dir), away, 10), bm25_topk(spark, sf_dir)], 10)
+
+
+@query(
+    f"""with {_Q},\n{_BM25},
+p as (select query_id, doc_id, rank as old_rank, list_distinct({_TOKENS.format("query")}) as a, {_TOKENS.format("substr(text, 1, 1000)")} as b from bm25 join documents using (doc_id) join q using (query_id) where rank <= 15),
+s as (select query_id, doc_id, old_rank, round(len(list_intersect(a, b)) / greatest(len(a), 1)::double, 6) as score from p),
+r as (select *, row_number() over (partition by query_id order by score desc, old_rank) as rank from s)
+select query_id, rank::int as rank, doc_id, score from r where rank <= 10"""
+)
+def rerank_lexical(spark, sf_dir):
+    return search.rerank(bm25_topk(spark, sf_dir), table(spark, sf_dir, "documents"), asked(spark))
+
+
+# --- images and audio ---------------------------------------------------------------------------------------------------------
+
+_SCREENS = ["Inbox - Gmail", "search menu settings", "at 10:45 AM the chart", "figure of a graph", "", "chat message in a browser window", "plain words only", "http www .com"]
+_SIZES = [(1920, 1080), (1000, 1000), (0, 0), (1200, 900)]
+_COUNTS = [3, 8, 15, 60, 250, 30000]
+
+
+def _images(spark, sf_dir) -> DataFrame:
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", pick(_SCREENS, k % 8).alias("ocr_text"), pick([w for w, _ in _SIZES], k % 4).alias("width"), pick([h for _, h in _SIZES], k % 4).alias("height"), pick(_COUNTS, k % 6).alias("word_count")
+    )
+
+
+def _hits_sql(signs: list[str]) -> str:
+    return "(" + " + ".join(f"contains(low, '{s}')::int" for s in signs) + ")"
+
+
+_SHOTS = rf"""img as (select p_partkey, {_list(_SCREENS)}[p_partkey % 8 + 1] as ocr_text, {_list([w for w, _ in _SIZES])}[p_partkey % 4 + 1] as width, {_list([h for _, h in _SIZES])}[p_partkey % 4 + 1] as height, {_list(_COUNTS)}[p_partkey % 6 + 1] as word_count from part),
+ind as (select *, lower(ocr_text) as low, case when height > 0 then width / height::double else 0 end as ratio, case when width * height > 0 then word_count / (width::double * height / 10000.0::double) else 0 end as density from img),
+sig as (select *, {_hits_sql(media.KEYWORDS)} as kw, {" or ".join(f"abs(ratio - {r!r}::double) < 0.1" for r in media.RATIOS)} as ratio_ok, len(regexp_extract_all(ocr_text, '{media.CLOCK}', 0)) > 0 as ts, {_hits_sql(media.APPLICATIONS)} as apps, {_hits_sql(media.INTERFACE)} as ui from ind),
+shot as (select *, kw >= 2 or (density > 0.5 and ratio_ok) or ts or apps > 0 or ui >= 3 as is_screenshot,
+least(least(kw * 0.15::double, 0.4::double) + case when ratio_ok then 0.2::double else 0 end + case when density > 0.5 then 0.15::double else 0 end + case when ts then 0.1::double else 0 end + case when apps > 0 then 0.1::double else 0 end + case when ui >= 2 then 0.05::double else 0 end, 1.0::double) as confidence from sig)"""
+
+
+@query(f"with {_SHOTS}\nselect p_partkey, is_screenshot, round(confidence, 4) as confidence, kw as keyword_count, ui as ui_patterns from shot")
+def screenshot_rules(spark, sf_dir):
+    return media.screenshots(_images(spark, sf_dir)).select("p_partkey", "is_screenshot", F.round("confidence", 4).alias("confidence"), "keyword_count", "ui_patterns")
+
+
+_FIRST_APP = "coalesce(" + ", ".join(f"case when contains(low, '{a}') then ' from {a.title()}' end" for a in media.APPLICATIONS) + ", '')"
+
+
+@query(
+    f"""with {_SHOTS},
+kind as (select *, case when is_screenshot then 'screenshot' when word_count > 50 then 'document' when word_count > 10 and {_hits_sql(["chart", "graph", "figure", "diagram"])} > 0 then 'diagram' when word_count > 10 then 'mixed' else 'photo' end as primary_type from shot),
+sub as (select *, case primary_type when 'screenshot' then case when {_hits_sql(["email", "inbox", "@"])} > 0 then 'email' when {_hits_sql(["chat", "message"])} > 0 then 'chat' when {_hits_sql(["chrome", "browser", "http"])} > 0 then 'browser' else 'application' end
+when 'document' then case when word_count > 200 then 'scan' else 'snippet' end when 'diagram' then 'labeled' when 'mixed' then 'text_visual' else 'visual_only' end as sub_type from kind)
+select p_partkey, primary_type, sub_type, case primary_type when 'screenshot' then upper(sub_type[1]) || sub_type[2:] || ' screenshot' || {_FIRST_APP} when 'document' then 'Document ' || sub_type || ' with ' || word_count || ' words'
+when 'diagram' then 'Diagram or chart with labels' when 'photo' then 'Photo or visual image' else 'Mixed content' end as content_description from sub"""
+)
+def image_classify(spark, sf_dir):
+    return media.image_types(media.screenshots(_images(spark, sf_dir))).select("p_partkey", "primary_type", "sub_type", "content_description")
+
+
+@query("select user_id as image_id, event_id as attempt_no, value as confidence from (select *, row_number() over (partition by user_id order by value desc, event_id) as n from events where value > 0) where n = 1")
+def ocr_best_attempt(spark, sf_dir):
+    return media.best_reading(table(spark, sf_dir, "events").select(F.col("user_id").alias("image_id"), F.col("event_id").alias("attempt_no"), F.col("value").alias("confidence")))
+
+
+def _segments(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("source"), F.col("turn").alias("seq"), "role", "text", (F.length("text") * F.lit(125) / F.lit(1000.0)).alias("duration"))
+
+
+_TS = "lpad((floor({0})::bigint // 3600)::varchar, 2, '0') || ':' || lpad((floor({0})::bigint % 3600 // 60)::varchar, 2, '0') || ':' || lpad((floor({0})::bigint % 60)::varchar, 2, '0') || '.' || lpad(trunc(({0} - floor({0})) * 1000.0::double)::int::varchar, 3, '0')"
+_SEG = """seg as (select conv_id as source, turn as seq, role, text, length(text) * 125 / 1000.0::double as duration from conversations),
+timed as (select *, round(sum(duration) over (partition by source order by seq rows unbounded preceding), 3) as end_time from seg),
+times as (select *, round(end_time - duration, 3) as start_time from timed)"""
+
+
+@query(f"with {_SEG}\nselect source, seq, start_time, end_time, {_TS.format('start_time')} || ' - ' || {_TS.format('end_time')} as timestamp_formatted from times")
+def segment_timestamps(spark, sf_dir):
+    return media.segment_times(_segments(spark, sf_dir)).select("source", "seq", "start_time", "end_time", "timestamp_formatted")
+
+
+@query(
+    f"""with {_SEG}\nselect source, seq, '# Audio: call' || source || '.wav - Segment ' || (seq + 1) || chr(10) || chr(10) || '**Timestamp:** [' || {_TS.format("start_time")} || ' → ' || {_TS.format("end_time")} || '] (' || (length(text) // 8) || '.0s)' || chr(10) || '**Speaker:** ' || role || chr(10) || chr(10) || '**Transcription:**' || chr(10) || text as content from times"""
+)
+def audio_content(spark, sf_dir):
+    rows = media.segment_times(_segments(spark, sf_dir))
+    content = media.audio_content(F.col("seq"), F.lit(""), F.concat(F.lit("call"), F.col("source").cast("string"), F.lit(".wav")), F.col("start_time"), F.col("end_time"), F.floor("duration").cast("double"), F.col("role"), F.col("text"))
+    return rows.select("source", "seq", content.alias("content"))
+
+
+@query(
+    """with g as (select *, case when epoch(ts) - lag(epoch(ts)) over (partition by user_id order by ts) > 1800 then 1 else 0 end as new from events),
+s as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as session_no from g)
+select user_id, session_no::bigint as session_no, min(ts) as started, max(ts) as ended, count(*) as n from s group by all"""
+)
+def silence_sessions(spark, sf_dir):
+    return media.sessions(table(spark, sf_dir, "events"), "user_id", "ts", 1800.0)
+
+
+@query(
+    """with v as (select vec_id % 10 as source, vec_id, label, embedding::double[] as e from embeddings),
+d as (select a.source, a.vec_id, a.label as own, b.label as other, sum(list_distance(a.e, b.e)) as total, count(*) as n from v a join v b on a.source = b.source and a.vec_id <> b.vec_id group by all),
+a_ as (select source, vec_id, total / n as a from d where own = other), b_ as (select source, vec_id, min(total / n) as b from d where own <> other group by all),
+s as (select v.source, case when a is null or b is null then 0 else (b - a) / greatest(a, b) end as s from v left join a_ using (source, vec_id) left join b_ using (source, vec_id))
+select source::varchar as source, round(avg(s), 6) as silhouette from s group by source"""
+)
+def silhouette_by_label(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 10).cast("string").alias("source"), "label", F.col("embedding").cast("array<double>").alias("features"))
+    return media.silhouettes(rows)
+
+
+@query("select role, count(*) as segments, count(distinct conv_id) as recordings, sum(length(text))::bigint as chars, max(turn) as last_turn from conversations group by role")
+def speaker_profile(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    return rows.groupBy("role").agg(F.count("*").alias("segments"), F.countDistinct("conv_id").alias("recordings"), F.sum(F.length("text")).alias("chars"), F.max("turn").alias("last_turn"))
+
+
+# --- elements and tables ------------------------------------------------------------------------------------------------------
+
+_KINDS = ["NarrativeText", "Title", "Text", "Table", "ListItem", "Image", "Footer"]
+_CAPTION_LINE = "case when pos % 9 = 2 then 'Table ' || pos || ': Totals' when pos % 9 = 5 then 'SECTION HEADING' else line end"
+_ELEMENTS = f"""el0 as (select doc_id as source, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents),
+el as (select source, pos::int as element_idx, {_list(_KINDS)}[pos % 7 + 1] as element_type, {_STRIP.format(_CAPTION_LINE)} as text from el0)"""
+
+
+def _elements(spark, sf_dir) -> DataFrame:
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    line = F.when(F.col("pos") % 9 == 2, F.concat(F.lit("Table "), F.col("pos").cast("string"), F.lit(": Totals"))).when(F.col("pos") % 9 == 5, "SECTION HEADING").otherwise(F.col("line"))
+    return lines.select("source", F.col("pos").alias("element_idx"), pick(_KINDS, F.col("pos") % 7).alias("element_type"), T.stripped(line).alias("text"))
+
+
+@query(
+    f"""with {_ELEMENTS},
+fit as (select *, case when element_type in ('NarrativeText', 'Text', 'Title', 'ListItem') and length(text) >= 20 then text end as t from el),
+w as (select *, list(t) filter (t is not null) over (partition by source order by element_idx rows between 10 preceding and 1 preceding) as b, list(t) filter (t is not null) over (partition by source order by element_idx rows between 1 following and 10 following) as a from fit)
+select source, element_idx, coalesce(array_to_string(b[-5:], ' '), '') as text_before, coalesce(array_to_string(a[1:5], ' '), '') as text_after from w where element_type in ('Table', 'Image')"""
+)
+def context_window(spark, sf_dir):
+    return documents.surrounding_text(_elements(spark, sf_dir)).filter("element_type in ('Table', 'Image')").select("source", "element_idx", "text_before", "text_after")
+
+
+@query(
+    f"""with {_ELEMENTS},
+fit as (select *, element_type in ('NarrativeText', 'Text', 'Title') and length(text) >= 3 as ok from el),
+near as (select t.source, t.element_idx, p.element_idx as spot, p.text, p.text like 'Table %: Totals' as cap, upper(p.text) = p.text and lower(p.text) <> p.text and length(p.text) < 100 as big from el t join fit p on p.source = t.source and p.element_idx between t.element_idx - 10 and t.element_idx - 1 and p.ok where t.element_type = 'Table'),
+head as (select source, element_idx, min(spot) filter (cap or big) as head_at from near group by all),
+rest as (select n.source, n.element_idx, list(text order by spot) as r from near n join head h using (source, element_idx) where head_at is null or spot <> head_at group by all)
+select t.source, t.element_idx, coalesce(n.text, '') as title, case when n.cap then regexp_extract(n.text, '\\d+', 0) end as number, coalesce(array_to_string(r[-5:], ' '), '') as description
+from el t left join head h using (source, element_idx) left join near n on n.source = t.source and n.element_idx = t.element_idx and n.spot = h.head_at left join rest r on r.source = t.source and r.element_idx = t.element_idx where t.element_type = 'Table'"""
+)
+def table_context(spark, sf_dir):
+    rows = documents.table_context(_elements(spark, sf_dir)).filter("element_type = 'Table'")
+    return rows.select("source", "element_idx", "context.title", "context.number", "context.description")
+
+
+_HEAD = ["part", "quantity", "price", "flag"]
+
+
+def _tables(spark, sf_dir) -> DataFrame:
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    price = F.concat(F.lit("$"), F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("table_id"), F.row_number().over(order).alias("row_no"), F.array(F.concat(F.lit("P"), F.col("l_partkey").cast("string")), F.col("l_quantity").cast("int").cast("string"), price, "l_returnflag").alias("cells"))
+    heads = rows.select("table_id").distinct().select("table_id", F.lit(0).alias("row_no"), F.array(*map(F.lit, _HEAD)).alias("cells"))
+    return heads.unionByName(rows)
+
+
+_ROWS = """line as (select l_orderkey as table_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as i, 'P' || l_partkey as c1, l_quantity::int::varchar as c2, '$' || (cast(round(l_extendedprice * 100) as bigint) // 100) || '.' || lpad((cast(round(l_extendedprice * 100) as bigint) % 100)::varchar, 2, '0') as c3, l_returnflag as c4 from lineitem),
+best as (select table_id, max(regexp_replace(c1, '[^\\d.]', '', 'g')::double) as m1, max(c2::double) as m2, max(c3[2:]::double) as m3 from line group by table_id),
+lead as (select table_id, any_value(m1) as m1, any_value(m2) as m2, any_value(m3) as m3, arg_min(c1, i) filter (regexp_replace(c1, '[^\\d.]', '', 'g')::double = m1) as l1, arg_min(c1, i) filter (c2::double = m2) as l2, arg_min(c1, i) filter (c3[2:]::double = m3) as l3 from line join best using (table_id) group by table_id),
+said as (select table_id, 'The highest part is ' || m1 || ' (from ' || l1 || '); The highest quantity is ' || m2 || ' (from ' || l2 || '); The highest price is ' || m3 || ' (from ' || l3 || ')' as summary from lead)"""
+
+
+@query(f"with {_ROWS}\nselect table_id, summary from said")
+def table_numeric_summary(spark, sf_dir):
+    return documents.column_summary(_tables(spark, sf_dir))
+
+
+@query(
+    f"""with {_ROWS},
+told as (select table_id, count(*) as n, string_agg(i || '. part: ' || c1 || ', quantity: ' || c2 || ', price: ' || c3 || ', flag: ' || c4, chr(10) order by i) as words, string_agg(c1 || ' | ' || c2 || ' | ' || c3 || ' | ' || c4, chr(10) order by i) as grid from line group by table_id)
+select table_id, 'This table contains ' || n || ' entries with 4 columns: part, quantity, price, flag.' || chr(10) || chr(10) || chr(10) || 'Detailed Data:' || chr(10) || words || chr(10) || chr(10) || 'Summary: ' || summary || chr(10) || chr(10) || '[Original Table Format]' || chr(10) || 'part | quantity | price | flag' || chr(10) || repeat('-', 60) || chr(10) || grid as content from told join said using (table_id)"""
+)
+def table_to_text(spark, sf_dir):
+    return documents.table_text(_tables(spark, sf_dir))
+
+
+# --- chunks, results and prompts ----------------------------------------------------------------------------------------------
+
+_UNION = """u as (select 'text' as modality, 'narrative_text' as type, source, doc_id::varchar as id, text as content, false as has_image_file from documents
+union all select 'table', 'table', split_part(url, '/', 3), page_id::varchar, html, false from pages
+union all select 'audio', 'audio', 'call' || conv_id, conv_id || '_' || turn, text, role = 'user' from conversations)"""
+
+
+def _union(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.lit("text").alias("modality"), F.lit("narrative_text").alias("type"), "source", F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"), F.lit(False).alias("has_image_file"))
+    pages = table(spark, sf_dir, "pages").select(F.lit("table").alias("modality"), F.lit("table").alias("type"), F.split_part("url", F.lit("/"), F.lit(3)).alias("source"), F.col("page_id").cast("string").alias("id"), F.col("html").alias("content"), F.lit(False).alias("has_image_file"))
+    calls = table(spark, sf_dir, "conversations").select(F.lit("audio").alias("modality"), F.lit("audio").alias("type"), F.concat(F.lit("call"), F.col("conv_id").cast("string")).alias("source"), F.concat(F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string")).alias("id"), F.col("text").alias("content"), (F.col("role") == "user").alias("has_image_file"))
+    return docs.unionByName(pages).unionByName(calls)
+
+
+@query(f"with {_UNION}\nselect modality, type, source, id, length(content) as n_chars from u")
+def union_modalities(spark, sf_dir):
+    return _union(spark, sf_dir).select("modality", "type", "source", "id", F.length("content").cast("long").alias("n_chars"))
+
+
+@query(
+    f"""with {_UNION}, t as (select *, length(content) // 4 as n from u),
+d as (select 'type' as dimension, type as value, n from t union all select 'modality', modality, n from t union all select 'source', source, n from t union all select 'total', 'all', n from t union all select 'with_image', has_image_file::varchar, n from t)
+select dimension, value, count(*) as chunks, sum(n)::bigint as tokens from d group by all"""
+)
+def chunk_summary(spark, sf_dir):
+    return context.summary(_union(spark, sf_dir).withColumn("token_count", T.token_count(F.col("content"))))
+
+
+@query(f"with {_UNION}\nselect modality, count(*) as chunks, count(distinct source) as sources, count(*) filter (has_image_file) as with_image from u group by modality")
+def index_stats(spark, sf_dir):
+    return _union(spark, sf_dir).groupBy("modality").agg(F.count("*").alias("chunks"), F.countDistinct("source").alias("sources"), F.count_if("has_image_file").alias("with_image"))
+
+
+@query("select doc_id::varchar as chunk_id, case when length(text) > 200 then substr(text, 1, 200) || '...' else text end as content_preview, source, 'N/A' as page_number, (length(text) // 4)::int as token_count from documents")
+def index_record(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents")
+    return rows.select(F.col("doc_id").cast("string").alias("chunk_id"), T.preview(F.col("text"), 200).alias("content_preview"), "source", F.coalesce(F.lit(None).cast("string"), F.lit("N/A")).alias("page_number"), T.token_count(F.col("text")).alias("token_count"))
+
+
+_RESULTS = """res0 as (select (doc_id % 20)::int as query_id, (doc_id // 20 + 1)::int as rank, (1000 - (doc_id // 20) % 1000) / 1000.0::double as score, source, text as content, ['text', 'image', 'table', 'audio', null][doc_id // 20 % 5 + 1] as nested, ['text', 'table', 'image'][doc_id // 7 % 3 + 1] as kind from documents),
+res as (select *, case when coalesce(nested, 'text') = 'audio' then 'audio' when nested = 'image' or kind = 'image' then 'images' when nested = 'table' or kind = 'table' then 'tables' else 'text' end as bucket from res0)"""
+
+
+def _results(spark, sf_dir) -> DataFrame:
+    nth = F.floor(F.col("doc_id") / 20)
+    nested = F.element_at(F.array(F.lit("text"), F.lit("image"), F.lit("table"), F.lit("audio"), F.lit(None).cast("string")), (nth % 5 + 1).cast("int"))
+    rows = table(spark, sf_dir, "documents").select(
+        (F.col("doc_id") % 20).cast("int").alias("query_id"), (nth + 1).cast("int").alias("rank"), ((F.lit(1000) - nth % 1000) / F.lit(1000.0)).alias("score"), "source", F.col("text").alias("content"),
+        nested.alias("nested"), pick(["text", "table", "image"], F.floor(F.col("doc_id") / 7) % 3).alias("kind"),
+    )
+    return rows.withColumn("bucket", context.bucket(F.lit(None).cast("string"), F.col("nested"), F.col("kind")))
+
+
+@query(f"with {_RESULTS}\nselect query_id, rank, score, source, bucket from res")
+def modality_route(spark, sf_dir):
+    return _results(spark, sf_dir).select("query_id", "rank", "score", "source", "bucket")
+
+
+@query(
+    f"""with {_RESULTS}, n as (select *, row_number() over (partition by query_id, bucket order by rank) as item_no from res)
+select query_id, bucket, item_no::int as item_no, '[' || bucket || ' ' || item_no || '] (Relevance: ' || format('{{:.3f}}', score) || ')' || chr(10) || 'Source: ' || source || chr(10) || substr(content, 1, case bucket when 'text' then 500 when 'tables' then 800 when 'images' then 300 else 400 end) as line
+from n where item_no <= case bucket when 'text' then 5 else 3 end"""
+)
+def prompt_context(spark, sf_dir):
+    return context.prompt_items(_results(spark, sf_dir))
+
+
+@query()
+def answer_prompts(spark, sf_dir):
+    asked_ = spark.range(20).select(F.col("id").cast("int").alias("query_id"), F.concat(F.lit("What does part "), F.col("id").cast("string"), F.lit(" say?")).alias("query"))
+    return context.prompts(_results(spark, sf_dir), asked_)
+
+
+@query()
+def discover_files(spark, sf_dir):
+    names = ["a/One.PDF", "b/two.docx", "extracted_data/three.png", "c/four.JPG", "d/five.mp3", "six.txt"]
+    rows = spark.createDataFrame([(n,) for n in names], "path string")
+    return rows.select("path", files.file_kind(F.col("path")).alias("file_kind")).filter("file_kind is not null")
