@@ -84,27 +84,27 @@ class EliasFano:
     def successor(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each v of at most universe the first position whose number is at least v, and whether that number is v.
 
-        Numbers that share v's high bits stand together after its zero in the unary part; their low bits are compared one by one.
+        Numbers that share v's high bits stand between two zeros of the unary part; their low bits are searched by halving.
         """
         v = np.asarray(v, _U)
         if not len(v):
             return np.zeros(0, np.int64), np.zeros(0, bool)
         h = (v >> _U(self.bits)).astype(np.int64)
-        start = np.zeros(len(v), np.int64)
+        at = np.zeros(len(v), np.int64)
         later = np.nonzero(h > 0)[0]
-        start[later] = self._select(h[later] - 1, False) + 1
-        at = start - h
+        at[later] = self._select(h[later] - 1, False) + 1 - h[later]
+        end = self._select(h, False) - h
         low = v & _U((1 << self.bits) - 1)
-        found = np.zeros(len(v), bool)
-        live = np.arange(len(v))
+        top = end.copy()
+        live = np.nonzero(at < top)[0]
         while len(live):
-            bit = start[live]
-            live = live[(self.high[bit >> 6] >> (bit & 63).astype(_U)) & _U(1) == 1]  # still among numbers of equal high bits
-            here = self.lows(at[live])
-            found[live] = here == low[live]
-            live = live[here < low[live]]
-            at[live] += 1
-            start[live] += 1
+            middle = (at[live] + top[live]) >> 1
+            less = self.lows(middle) < low[live]
+            at[live[less]] = middle[less] + 1
+            top[live[~less]] = middle[~less]
+            live = live[at[live] < top[live]]
+        found = at < end
+        found[found] = self.lows(at[found]) == low[found]
         return at, found
 
 

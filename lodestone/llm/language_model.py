@@ -27,8 +27,9 @@ from lodestone.llm.eliasfano import Level, save
 PRIOR = 1000.0
 #: Logarithms (base 10) are kept to this fraction; 16 bits then reach down to 10^-16.
 STEP = 1 / 4096
+#: Bytes of text worked on at a time.
+SLICE = 8 << 20
 #: Training pairs for each file of the second level, and words for each of the first.
-SLICE = 16 << 20
 FILE_PAIRS, FILE_WORDS = 2_000_000, 500_000
 _U = np.uint64
 
