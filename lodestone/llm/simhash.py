@@ -95,7 +95,7 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _linked(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
     near = manhattan(segment_counts(a), segment_counts(b)) <= bits
-    near[near] = np.bitwise_count(a[near] ^ b[near]) <= bits
+    near[near] = np.bitwise_count((a[near] ^ b[near]).view(np.uint64)) <= bits  # of a signed number the magnitude would be counted
     return near
 
 
