@@ -122,7 +122,7 @@ class WordIds:
         return ids, lengths
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end: int = END_ID, room: int = 700_000, keep_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end: int = END_ID, room: int = 500_000, keep_ids: bool = False) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): every document's ids and its end id, cut at multiples of window."""
     with open(tokenizer_path, encoding="utf-8") as f:
         config = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -131,7 +131,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end: int
         gc.disable()  # hundreds of thousands of live strings and no cycles
         encode = worker_state(("word-ids", tokenizer_path), lambda: WordIds(config.value, room))
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text"):
                 ids, lengths = encode(part.column("text"), end)
                 n = -(-lengths // window)
                 doc = np.repeat(np.arange(len(n)), n)
