@@ -177,12 +177,13 @@ def test_decode_is_nearest():
     assert len(lattice.shortest()) == 240 and (((x[:, None] - around) ** 2).sum(2).min(1) >= d - 1e-9).all() and (d <= 1 + 1e-9).all()
 
 
-def test_search_recall_and_scores(spark):
+@pytest.mark.parametrize("sizes", [{}, {"chunk_rows": 20, "query_rows": 4}])
+def test_search_recall_and_scores(spark, sizes):
     rng = np.random.default_rng(3)
     x = np.float32(rng.normal(size=(1500, 16)))
     x[7] = x[100] = x[8]
     rows = [(i, [float(v) for v in r], 0, 1.0) for i, r in enumerate(x)] + [(3000, None, 0, 1.0), (3100, [0.0] * 16, 0, 1.0)]
-    got = ivfpq.nearest(spark.createDataFrame(rows, VECTOR_SCHEMA)).collect()
+    got = ivfpq.nearest(spark.createDataFrame(rows, VECTOR_SCHEMA), **sizes).collect()
     by = {}
     for r in sorted(got, key=lambda r: r.rank):
         by.setdefault(r.query_id, []).append(r)
