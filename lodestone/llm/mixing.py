@@ -1,8 +1,10 @@
 """Mixing documents to target weights by iterative proportional fitting (raking), in DataFrame operations only.
 
 Token weights are summed per cell of source, language and topic. Raking scales the cells in turn to the target shares of each margin
-until all three hold; the ratio of a cell's raked to its real weight, over the largest ratio, is the chance with which each of its
-documents is drawn. Draws come from a hash of the id, so they repeat exactly.
+until all three hold; the ratio of a cell's raked to its real weight, times one scale for all cells, is the chance with which each of
+its documents is drawn. The scale is 1 over the largest ratio while the tokens kept then reach the budget; where a rare cell's ratio
+would push them below it, the scale is the one that meets the budget, and cells whose chance would pass 1 are taken whole.
+Draws come from a hash of the id, so they repeat exactly.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ MARGINS = ("source", "lang", "topic")
 SWEEPS = 12
 #: Natural shares are raised to this power and made to sum to 1: below 1 it lifts small sources and languages.
 FLATTEN = 0.8
+#: The token budget: at least this share of the tokens that can be drawn is kept, in expectation.
+KEEP = 0.5
 #: Up to so many cells raking runs in one task and the cells are broadcast; beyond that both shuffle.
 FEW_CELLS = 100_000
 
@@ -69,12 +73,34 @@ def one_task(cells: DataFrame) -> bool:
     return len(cells.limit(FEW_CELLS + 1).select(F.lit(1)).take(FEW_CELLS + 1)) <= FEW_CELLS
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, topic: Column | None = None, tokens: Column | None = None, sweeps: int = SWEEPS, flatten: dict[str, float] | None = None) -> DataFrame:
+def with_chances(weights: DataFrame, keep: float = KEEP) -> DataFrame:
+    """weights (tokens, weight) with mix_weight and mix_chance = least(1, mix_weight * scale); cells of weight 0 are outside the budget.
+
+    The tokens kept at a scale are the least, over k, of the tokens of the k cells of largest ratio plus scale times the weight of the
+    others; so the scale that meets the budget is the largest of (budget - those tokens) / that weight.
+    """
+    ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(F.lit(0.0))
+    weights = weights.withColumn("mix_weight", ratio)
+    everything = Window.partitionBy(F.lit(0))
+    falling = everything.orderBy(F.desc("mix_weight"), *MARGINS)
+    above = falling.rowsBetween(Window.unboundedPreceding, -1)
+    below = falling.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    live = F.when(F.col("mix_weight") > 0, F.col("tokens")).otherwise(F.lit(0)).cast("double")
+    short = F.lit(keep) * F.sum(live).over(everything) - F.coalesce(F.sum("tokens").over(above), F.lit(0))
+    rest = F.sum("weight").over(below)
+    weights = weights.withColumn("scale", F.when(rest > 0, short / rest))
+    scale, top = F.max("scale").over(everything), F.max("mix_weight").over(everything)
+    chance = F.when(scale * top > 1, F.least(F.col("mix_weight") * scale, F.lit(1.0))).when(top > 0, F.col("mix_weight") / top).otherwise(F.lit(0.0))
+    return weights.withColumn("mix_chance", chance).drop("scale")
+
+
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, topic: Column | None = None, tokens: Column | None = None, sweeps: int = SWEEPS, flatten: dict[str, float] | None = None, keep: float = KEEP) -> DataFrame:
     """The drawn rows of docs with mix_topic, mix_tokens, mix_weight and mix_chance; other columns as they are.
 
     A null source or language counts as the value ''. Where the id is null the text decides the draw; rows of equal id
-    are drawn together. An empty table gives no rows. Every row has a chance: sampling is what this operator does, and the rows drawn
-    hold, in expectation, the target shares.
+    are drawn together. An empty table gives no rows. Every row has a chance: sampling is what this operator does. The rows drawn
+    hold, in expectation, the target shares, but for cells that the budget keep (a share of the tokens) makes it take whole: those hold
+    less than their share, and no document is repeated.
     """
     names = docs.columns
     topic = topic_of() if topic is None else topic
@@ -84,10 +110,7 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, top
     cells = cut(cells, "mix-cells")
     few = one_task(cells)
     weights = raked(cells.coalesce(1) if few else cells, targets, flatten, sweeps)
-    ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(F.lit(0.0))
-    weights = weights.withColumn("mix_weight", ratio)
-    top = F.max("mix_weight").over(Window.partitionBy(F.lit(0)))
-    weights = cut(weights.withColumn("mix_chance", F.when(top > 0, F.col("mix_weight") / top).otherwise(F.lit(0.0))), "mix-weights")
+    weights = cut(with_chances(weights, keep), "mix-weights")
     side = weights.select(F.col("source").alias("__source"), F.col("lang").alias("__lang"), F.col("topic").alias("mix_topic"), "mix_weight", "mix_chance")
     draw = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double")
     joined = rows.withColumn("mix_topic", F.coalesce("mix_topic", F.lit(""))).join(F.broadcast(side) if few else side, ["__source", "__lang", "mix_topic"])

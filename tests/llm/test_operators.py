@@ -303,6 +303,24 @@ def test_raking_meets_the_targets(spark, docs, none):
     assert rows_of(drawn, "doc_id") == rows_of(mixing.mix(docs.repartition(7)), "doc_id") and mixing.mix(none).count() == 0
 
 
+def test_rare_values_do_not_set_the_rate_of_mixing(spark):
+    """One document of a new source and one of a new language; without a budget they bring the kept share under a sixth."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang", "source")
+    new = spark.createDataFrame([(900_001, "word " * 40, "en", "brand-new"), (900_002, "word " * 40, "zz", "brand-new")], "doc_id long, text string, lang string, source string")
+    total = docs.union(new).agg(F.sum(mixing.tokens_of())).first()[0]
+
+    def kept(rows, **how):
+        return mixing.mix(rows, **how).agg(F.sum("mix_tokens")).first()[0] / total
+
+    assert kept(docs.union(new), keep=0.0) < 1 / 6
+    assert abs(kept(docs.union(new)) - mixing.KEEP) < 0.02
+    assert abs(kept(docs.union(new), keep=0.9) - 0.9) < 0.02
+    assert kept(docs) > 0.75  # the budget is a floor
+    cells = [("a", "x", "t", 1000, 700.0), ("b", "x", "t", 1000, 900.0), ("c", "x", "t", 10, 410.0), ("d", "x", "t", 500, 0.0)]
+    chances = {r.source: r.mix_chance for r in mixing.with_chances(spark.createDataFrame(cells, "source string, lang string, topic string, tokens long, weight double"), 0.5).collect()}
+    assert chances["c"] == 1 and chances["d"] == 0 and abs(1000 * chances["a"] + 1000 * chances["b"] + 10 - 1005) < 1e-6 and abs(chances["b"] / chances["a"] - 9 / 7) < 1e-9
+
+
 def test_mixing_equals_its_sql(spark, tmp_path):
     import duckdb
 
