@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import classify, mixing, packing, simhash
+from lodestone.llm import classify, mixing, packing, shingles
 from lodestone.llm.common import cut, table
 from lodestone.llm.queries import vocabulary
 
@@ -28,8 +28,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of lowest id in each group of near duplicates; rows without an id stay."""
-    found = simhash.near_duplicates(docs).filter("doc_id is not null")
+    """Keeps the document of lowest id in each group of near duplicates (five-word Jaccard 0.8 or more); rows without an id stay."""
+    found = shingles.near_duplicates(docs).filter("doc_id is not null")
     ids = cut(found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")), "group-members")
     gone = cut(ids.filter("doc_id <> component_id").select("doc_id"), "group-others")
     few = gone.count() <= MOST_BROADCAST_IDS  # then whole texts need no shuffle; beyond it the planner decides

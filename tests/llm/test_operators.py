@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodestone.llm import boosting, classify, graph, ivfpq, language_model, lattice, mixing, packing, sharding, simhash, tokens
+from lodestone.llm import boosting, classify, graph, ivfpq, language_model, lattice, mixing, packing, sharding, shingles, simhash, tokens
 from lodestone.llm.eliasfano import EliasFano
 
 WORDS = "alpha beta gamma delta you idiot epsilon zeta eta theta Iota kappa lambda mu nu xi omicron pi rho sigma".split()
@@ -136,6 +136,37 @@ def test_links_connect_all_close_fingerprints(spark, block):
     assert (simhash.manhattan(simhash.segment_counts(a), simhash.segment_counts(b)) <= np.bitwise_count((a ^ b).view(np.uint64))).all()
 
 
+def slow_shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+
+def similar(a, b):
+    return len(a & b) / len(a | b) >= 0.8 if a or b else True
+
+
+def edited_texts(seed=11):
+    """Texts with copies in which more and more words are replaced, so that five-word Jaccard goes down from 1 to about 0.5."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for _ in range(40):
+        words = rng.integers(0, 5000, int(rng.integers(60, 300))).astype(str)
+        for part in (0, 0.005, 0.01, 0.02, 0.03, 0.05):
+            now = words.copy()
+            hit = rng.random(len(now)) < part
+            now[hit] = rng.integers(5000, 9000, int(hit.sum())).astype(str)
+            rows.append((len(rows), " ".join(now), "en", "a", 0.0, 0, 0, 0))
+    return rows
+
+
+def test_shingles(spark, docs, none):
+    for rows in (corpus(), edited_texts()):
+        sets = [slow_shingles(r[1]) for r in rows]
+        wanted = sorted(zip((r[0] for r in rows), closed(len(rows), lambda i, j: similar(sets[i], sets[j]), [r[0] for r in rows])), key=repr)  # noqa: B023
+        assert rows_of(shingles.near_duplicates(spark.createDataFrame(rows, SCHEMA)), "doc_id", "component_id") == wanted
+    assert shingles.near_duplicates(none).count() == 0
+
+
 def vectors(seed=1):
     rng = np.random.default_rng(seed)
     x = rng.normal(size=(90, 16))
@@ -358,6 +389,16 @@ def test_stages_are_the_operators(spark):
         now = out.cache()
 
 
+def test_stage_removes_near_copies_of_five_word_jaccard(spark):
+    import corpus_pipeline as pipeline
+
+    rows = edited_texts()
+    sets = [slow_shingles(r[1]) for r in rows]
+    wanted = set(closed(len(rows), lambda i, j: similar(sets[i], sets[j]), [r[0] for r in rows]))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert {r.doc_id for r in pipeline.near_duplicates(spark, docs, "").collect()} == wanted
+
+
 def _groups(d):
     rows = d.select("doc_id", "text").collect()
     fp = [slow_fingerprint(r.text) for r in rows]
