@@ -399,6 +399,13 @@ def test_stage_removes_near_copies_of_five_word_jaccard(spark):
     assert {r.doc_id for r in pipeline.near_duplicates(spark, docs, "").collect()} == wanted
 
 
+def test_packing_stage_writes_the_ids(spark, docs):
+    import corpus_pipeline as pipeline
+
+    rows = pipeline.packed(spark, docs.limit(20), "").collect()
+    assert rows and all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in rows)
+
+
 def _groups(d):
     rows = d.select("doc_id", "text").collect()
     fp = [slow_fingerprint(r.text) for r in rows]
