@@ -210,6 +210,51 @@ def rerank_lexical(spark, sf_dir):
     return search.rerank(bm25_topk(spark, sf_dir), table(spark, sf_dir, "documents"), asked(spark))
 
 
+# The queries above answer the three of their SQL. Those below answer every row whose id is divisible by EVERY; SQL would be too slow.
+
+EVERY = 50
+
+
+def every_vector(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+
+
+def every_text(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").filter(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+
+
+@query()
+def bm25_topk_all(spark, sf_dir):
+    return search.bm25(table(spark, sf_dir, "documents"), every_text(spark, sf_dir))
+
+
+@query()
+def semantic_topk_all(spark, sf_dir):
+    return search.semantic(vectors(spark, sf_dir), every_vector(spark, sf_dir))
+
+
+@query()
+def rrf_fusion_all(spark, sf_dir):
+    return search.fuse([semantic_topk_all(spark, sf_dir), bm25_topk_all(spark, sf_dir)])
+
+
+@query()
+def hybrid_search_all(spark, sf_dir):
+    # ids of one table only stay: a join of both would drop them
+    return search.fuse([semantic_topk_all(spark, sf_dir), bm25_topk_all(spark, sf_dir)], 15)
+
+
+@query()
+def multimodal_fusion_all(spark, sf_dir):
+    away = every_vector(spark, sf_dir).withColumn("query_embedding", F.transform("query_embedding", lambda x: -x))
+    return search.fuse([semantic_topk_all(spark, sf_dir), search.semantic(vectors(spark, sf_dir), away, 10), bm25_topk_all(spark, sf_dir)], 10)
+
+
+@query()
+def rerank_lexical_all(spark, sf_dir):
+    return search.rerank(bm25_topk_all(spark, sf_dir), table(spark, sf_dir, "documents"), every_text(spark, sf_dir))
+
+
 # --- images and audio ---------------------------------------------------------------------------------------------------------
 
 _SCREENS = ["Inbox - Gmail", "search menu settings", "at 10:45 AM the chart", "figure of a graph", "", "chat message in a browser window", "plain words only", "http www .com"]

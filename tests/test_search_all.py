@@ -1,0 +1,57 @@
+"""The searches for every id divisible by 50 against brute force on the smallest tables."""
+
+import math
+import re
+from collections import Counter
+from pathlib import Path
+
+import numpy as np
+import pytest
+
+from lodestone.plans import registry
+
+DATA = Path("/root/testdata/sf0.001")
+pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+
+
+def scores_of(rows):
+    by = {}
+    for r in sorted(rows, key=lambda r: (r.query_id, r["rank"])):
+        by.setdefault(r.query_id, []).append(r.score)
+    return by
+
+
+def slow_semantic(spark):
+    rows = spark.read.parquet(f"{DATA}/embeddings.parquet").orderBy("vec_id").collect()
+    x = np.array([r.embedding for r in rows], float)
+    return {r.vec_id: sorted((x @ x[i]).tolist(), reverse=True)[:25] for i, r in enumerate(rows) if r.vec_id % 50 == 0}
+
+
+def slow_bm25(spark):
+    split = lambda t: [w for w in re.sub(r"[^a-z0-9\s]", " ", t.lower()).split() if len(w) > 2]
+    docs = {r.doc_id: Counter(split(r.text)) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    n, mean_size = len(docs), sum(sum(d.values()) for d in docs.values()) / len(docs)
+    df = Counter(w for d in docs.values() for w in d)
+    idf = {w: math.log(n - k + 0.5) - math.log(k + 0.5) for w, k in df.items()}
+    mean = sum(idf.values()) / len(idf)
+    idf = {w: 0.25 * mean if v < 0 else v for w, v in idf.items()}
+    out = {}
+    for q in (i for i in docs if i % 50 == 0):
+        raw = [sum(k * idf[w] * d[w] * 2.5 / (d[w] + 1.5 * (0.25 + 0.75 * sum(d.values()) / mean_size)) for w, k in docs[q].items() if w in d) for d in docs.values()]
+        best = sorted(raw, reverse=True)[:25]
+        out[q] = [s / best[0] for s in best if s > 0]
+    return out
+
+
+@pytest.mark.parametrize("name, slow", [("semantic_topk_all", slow_semantic), ("bm25_topk_all", slow_bm25)])
+def test_every_fiftieth_row_is_a_query(spark, name, slow):
+    got, wanted = scores_of(registry.QUERIES[name](spark, str(DATA)).collect()), slow(spark)
+    wanted = {q: s for q, s in wanted.items() if s}
+    assert sorted(got) == sorted(wanted) and len(got) > 3
+    assert all(got[q] == pytest.approx(wanted[q], abs=3e-6) for q in wanted)
+
+
+@pytest.mark.parametrize("name", ["rrf_fusion_all", "hybrid_search_all", "multimodal_fusion_all"])
+def test_fusion_keeps_the_queries_of_both_tables(spark, name):
+    wanted = set(slow_semantic(spark)) | set(slow_bm25(spark))
+    assert {r.query_id for r in registry.QUERIES[name](spark, str(DATA)).select("query_id").distinct().collect()} == wanted
