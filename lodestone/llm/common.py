@@ -28,8 +28,11 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (one machine)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset and the master is local (one machine)."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given and not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return given or _own_dir()
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -44,7 +47,22 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a table that cut() wrote; nothing that is still to be computed may read it."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written)
+    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def fresh(names: list[str], stem: str) -> str:
+    """A column name from stem that none of names equals or begins with, whatever their case."""
+    while any(n.lower().startswith(stem.lower()) for n in names):
+        stem += "_"
+    return stem
 
 
 def text_of(column: str = "text") -> Column:
@@ -58,9 +76,9 @@ def fold(doc_id: Column | str = "doc_id") -> Column:
     return F.crc32(c.cast("string").cast("binary")) % F.lit(5)
 
 
-def partitions(spark: SparkSession, rows: int, per_task: int) -> int:
-    """Shuffle width for so many rows: never fewer than the session's setting."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
+def wide(df: DataFrame, rows: int, per_task: int) -> DataFrame:
+    """df dealt out evenly, about per_task rows to a task and never to fewer tasks than a shuffle has."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task)))
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut
+from lodestone.llm.common import cut, forget
 
 
 def _oriented(edges: DataFrame) -> DataFrame:
@@ -30,7 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
         small = small.union(low.select("u", F.col("m").alias("v"))).distinct()
-        now = cut(small, "small-star")
+        before, now = now, cut(small, "small-star")
+        forget(before), forget(large)
         state = _state(now)
         if state == seen:
             break

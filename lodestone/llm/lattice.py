@@ -17,11 +17,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, runs_of, whole_runs
+from lodestone.llm.common import cut, runs_of, whole_runs, wide
 from lodestone.llm.graph import components
 from lodestone.llm.vectors import matrix, prepared, unit
 
-TABLES, PROBES, SCALE, SEED = 8, 4, 0.8, 7
+#: Up to so many distinct vectors: tables, and the scale of the projections; finer cells need more tables for the same recall. Of two vectors at
+#: cosine 0.9 a table with PROBES probes brings 39, 20 and 10 % together, and a cell holds some 2e-4, 4e-5 and 1e-5 of all vectors.
+SETTINGS = ((20_000_000, 8, 0.8), (200_000_000, 16, 1.0), (None, 35, 1.2))
+PROBES, SEED = 4, 7
+
+
+def settings_for(n: int) -> tuple[int, float]:
+    return next((tables, scale) for most, tables, scale in SETTINGS if most is None or n <= most)
 
 
 def _nearest_even(x: np.ndarray) -> np.ndarray:
@@ -62,7 +69,7 @@ def codes(x: np.ndarray, tables: int, probes: int, scale: float, seed: int) -> n
         p = x @ rng.normal(size=(x.shape[1], 8)) * scale
         own = decode(p)
         # of the neighbours own + v, those with the largest (p - own) . v are nearest, all v being of equal length
-        near = np.argsort(-((p - own) @ around.T), axis=1, kind="stable")[:, :probes]
+        near = np.argpartition(-((p - own) @ around.T), probes, axis=1)[:, :probes]
         points = np.concatenate((own[:, None, :], own[:, None, :] + around[near]), axis=1)
         key = (np.rint(2 * points).astype(np.int64).view(np.uint64) * mixer).sum(axis=2, dtype=np.uint64)
         key ^= key >> np.uint64(29)
@@ -82,18 +89,36 @@ def _by_length(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             yield part.slice(at, 4096)
 
 
-def _cell_rows(settings: tuple):
+def _as_bytes(x: np.ndarray) -> list[bytes]:
+    """Each row's numbers, in four bytes each where that loses nothing; a letter in front says which."""
+    short = x.astype(np.float32)
+    exact = (short == x).all(axis=1)
+    return [b"f" + s.tobytes() if e else b"d" + v.tobytes() for e, s, v in zip(exact, short, x)]
+
+
+def _length(vector: bytes) -> int:
+    return (len(vector) - 1) // (4 if vector[:1] == b"f" else 8)
+
+
+def _numbers(vectors: list[bytes]) -> np.ndarray:
+    """Rows of one length as doubles."""
+    return np.array([np.frombuffer(v, np.float32 if v[:1] == b"f" else np.float64, offset=1) for v in vectors], np.float64)
+
+
+def _cell_rows(settings: tuple, with_vectors: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _by_length(batch):
                 x = matrix(part.column("embedding"))
                 cell = codes(unit(x), *settings)
                 n, tables, wide = cell.shape
-                home = np.tile(np.arange(wide) == 0, n * tables)
-                table = np.tile(np.repeat(np.arange(tables), wide), n)
-                who = pa.array(np.repeat(np.arange(n), tables * wide))
-                vector = pa.array([r.tobytes() for r in x], pa.binary()).take(who)
-                yield pa.RecordBatch.from_arrays([pa.array(cell.reshape(-1)), pa.array(table.astype(np.int32)), pa.array(home), part.column("cid").take(who), part.column("n").take(who), vector], ["cell", "table", "home", "cid", "n", "vector"])
+                columns = {"cell": pa.array(cell.reshape(-1))}
+                if with_vectors:
+                    who = pa.array(np.repeat(np.arange(n), tables * wide))
+                    columns["table"] = pa.array(np.tile(np.repeat(np.arange(tables), wide), n).astype(np.int32))
+                    columns["home"] = pa.array(np.tile(np.arange(wide) == 0, n * tables))
+                    columns |= {"cid": part.column("cid").take(who), "n": part.column("n").take(who), "vector": pa.array(_as_bytes(x), pa.binary()).take(who)}
+                yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
@@ -134,37 +159,43 @@ def _count_links(cosine: float, settings: tuple, block: int = 512):
             if not live.any():
                 continue
             raw = rows.column("vector").combine_chunks().cast(pa.binary()) if isinstance(rows.column("vector"), pa.ChunkedArray) else rows.column("vector")
-            vectors = [raw[int(i)].as_py() for i in np.nonzero(live)[0]]
+            vectors = raw.take(pa.array(np.nonzero(live)[0])).to_pylist()
             sizes = np.zeros(len(key), np.int64)
-            sizes[live] = [len(v) for v in vectors]
+            sizes[live] = [_length(v) for v in vectors]
             for size in np.unique(sizes[live]):  # vectors of one length; a cell holds but one length
                 own = np.nonzero(sizes == size)[0]
-                x = np.zeros((len(key), size // 8))
-                x[own] = unit(np.frombuffer(b"".join(v for v in vectors if len(v) == size), np.float64).reshape(len(own), -1))
-                _, first, again = np.unique(cid[own], return_index=True, return_inverse=True)
-                seen = np.zeros(len(key), np.int64)
-                seen[own] = again
-                code = None
-                for s, k in zip(starts[busy], lengths[busy]):
-                    if sizes[s] != size:
-                        continue
-                    left, right = [], []
-                    for i, j in pairs_of(slice(int(s), int(s + k)), x, home, part, cross):
-                        code = codes(x[own[first]], *settings) if code is None else code
-                        t, c = _first_meeting(code[seen[i]], code[seen[j]])
-                        mine = (t == table[i]) & (c == cell[i]) & (cid[i] != cid[j])
-                        i, j = i[mine], j[mine]
-                        np.add.at(links, i, n[j])
-                        np.add.at(links, j, n[i])
-                        left.append(i), right.append(j)
-                    if left:
-                        _join(root, np.concatenate(left), np.concatenate(right))
+                x = np.zeros((len(key), size))
+                x[own] = unit(_numbers([v for v in vectors if _length(v) == size]))
+                mine = busy & (sizes[starts] == size)
+                met = (pair for s, k in zip(starts[mine], lengths[mine]) for pair in pairs_of(slice(int(s), int(s + k)), x, home, part, cross))
+                for i, j in _gathered(met, 1 << 15):
+                    ends, place = np.unique(np.concatenate((i, j)), return_inverse=True)
+                    code = codes(x[ends], *settings)
+                    t, c = _first_meeting(code[place[: len(i)]], code[place[len(i) :]])
+                    first = (t == table[i]) & (c == cell[i]) & (cid[i] != cid[j])
+                    i, j = i[first], j[first]
+                    np.add.at(links, i, n[j])
+                    np.add.at(links, j, n[i])
+                    _join(root, i, j)
             found = links > 0
             yield pa.RecordBatch.from_arrays([pa.array(cid[found]), pa.array(links[found]), pa.array(cid[root[found]])], ["cid", "links", "root"])
 
     return run
 
 
+def _gathered(pairs: Iterator[tuple[np.ndarray, np.ndarray]], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same pairs in fewer and larger arrays."""
+    held, n = [], 0
+    for pair in pairs:
+        held.append(pair)
+        n += len(pair[0])
+        if n >= most:
+            yield tuple(map(np.concatenate, zip(*held)))
+            held, n = [], 0
+    if n:
+        yield tuple(map(np.concatenate, zip(*held)))
+
+
 def _join(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
     """Lower root[] until both ends of every pair share their lowest row."""
     while True:
@@ -176,22 +207,24 @@ def _join(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
         root[i], root[j] = root[root[i]], root[root[j]]
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.9, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, block: int = 4096) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = 0.9, tables: int | None = None, probes: int = PROBES, scale: float | None = None, block: int = 4096) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of (vec_id, embedding).
 
     n_links counts the other rows found with a cosine of at least the given one, computed in double precision; equal vectors always
     count. component_id is the smallest vec_id that links reach. Vectors that are null, zero or hold null or non-finite numbers
     link with nothing and are their own component; vectors of different lengths never link. Repeated rows are rows like others, null ids
     stay null and are never named while another id is there, an empty table gives no rows, other columns play no part. A cell with
-    more than block rows is dealt out as pairs of chunks.
+    more than block rows is dealt out as pairs of chunks. Where tables and scale are not given they follow from the number of distinct vectors.
     """
     spark = vectors.sparkSession
-    settings = (tables, probes, scale, SEED)
     rows = prepared(vectors)
     classes = rows.filter("usable").groupBy("embedding").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"), F.first("cid").alias("cid"))
     classes = cut(classes, "vector-classes")
-    cells = classes.select("embedding", "cid", "n").mapInArrow(_cell_rows(settings), "cell long, table int, home boolean, cid long, n long, vector binary")
-    crowded = classes.select("embedding", "cid", "n").mapInArrow(_cell_rows(settings), "cell long, table int, home boolean, cid long, n long, vector binary")
+    count = classes.count()
+    settings = (tables or settings_for(count)[0], probes, scale or settings_for(count)[1], SEED)
+    entries = wide(classes.select("embedding", "cid", "n"), count, 50_000)
+    cells = entries.mapInArrow(_cell_rows(settings, True), "cell long, table int, home boolean, cid long, n long, vector binary")
+    crowded = entries.mapInArrow(_cell_rows(settings, False), "cell long")
     crowded = cut(crowded.groupBy("cell").agg(F.count("*").alias("rows")).filter(F.col("rows") > block), "crowded-lattice-cells")
     if crowded.isEmpty():
         cells = cells.withColumns({"key": F.col("cell"), "part": F.lit(0), "cross": F.lit(False)})

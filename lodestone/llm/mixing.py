@@ -1,7 +1,7 @@
 """Mixing documents to target weights by iterative proportional fitting (raking), in DataFrame operations only.
 
 Token weights are summed per cell of source, language and topic. Raking scales the cells in turn to the target shares of each margin
-until all three hold; the ratio of a cell's raked to its real weight, times one scale for all cells, is the chance with which each of
+until all three hold within a tolerance; the ratio of a cell's raked to its real weight, times one scale for all cells, is the chance with which each of
 its documents is drawn. The scale is 1 over the largest ratio while the tokens kept then reach the budget; where a rare cell's ratio
 would push them below it, the scale is the one that meets the budget, and cells whose chance would pass 1 are taken whole.
 Draws come from a hash of the id, so they repeat exactly.
@@ -9,19 +9,24 @@ Draws come from a hash of the id, so they repeat exactly.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut
+from lodestone.llm.common import cut, fresh
 
 MARGINS = ("source", "lang", "topic")
-SWEEPS = 12
+#: Sweeps before the margins are looked at, and again as many while one is farther from its target than TOLERANCE of all tokens; then a warning.
+SWEEPS, MOST_SWEEPS, TOLERANCE = 12, 120, 1e-6
 #: Natural shares are raised to this power and made to sum to 1: below 1 it lifts small sources and languages.
 FLATTEN = 0.8
 #: The token budget: at least this share of the tokens that can be drawn is kept, in expectation.
 KEEP = 0.5
-#: Up to so many cells raking runs in one task and the cells are broadcast; beyond that both shuffle.
-FEW_CELLS = 100_000
+#: Up to so many cells raking runs in one task and the cells are broadcast; beyond that cells are joined to the sums of their margins, and
+#: documents to their cells in SALT parts of each cell.
+FEW_CELLS, SALT = 100_000, 16
+OUT = ("mix_topic", "mix_tokens", "mix_weight", "mix_chance")
 
 
 def topic_of(text: str = "text") -> Column:
@@ -39,86 +44,118 @@ def _margin(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def raked(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, flatten: dict[str, float] | None = None, sweeps: int = SWEEPS) -> DataFrame:
-    """cells (source, lang, topic, tokens) with weight: tokens raked to the target shares of all three margins, same total.
+def _few(cells: DataFrame, most: int) -> bool:
+    return cells.limit(most + 1).count() <= most
 
-    targets gives shares per margin and value; values it does not name get weight 0. A margin without targets takes its natural
-    shares to the power flatten[margin] (FLATTEN for source and lang, 1 for topic).
-    """
-    flatten = {"source": FLATTEN, "lang": FLATTEN, "topic": 1.0} | (flatten or {})
-    cells = cells.withColumn("weight", F.col("tokens").cast("double"))
-    everything = Window.partitionBy(F.lit(0))
+
+def _with_goals(cells: DataFrame, targets: dict[str, dict[str, float]] | None, flatten: dict[str, float]) -> DataFrame:
+    total = F.broadcast(cells.agg(F.sum("tokens").cast("double").alias("total")))  # one row, like the sums below
     for m in MARGINS:
-        by = Window.partitionBy(m)
+        values = cells.groupBy(m).agg(F.sum("tokens").alias("t")).crossJoin(total)
         if targets and m in targets:
             shares = F.create_map(*[F.lit(x) for kv in sorted(targets[m].items()) for x in kv])
             goal = F.coalesce(shares[F.col(m)].cast("double"), F.lit(0.0))
         else:
-            goal = F.pow(F.sum("tokens").over(by) / F.sum("tokens").over(everything), F.lit(flatten[m]))
-        # the share of a value, each value counted once
-        cells = cells.withColumn("g", goal).withColumn("first", (F.row_number().over(by.orderBy(*MARGINS)) == 1).cast("double"))
-        total = F.sum("tokens").over(everything).cast("double")
-        cells = cells.withColumn(f"goal_{m}", F.col("g") / F.sum(F.col("g") * F.col("first")).over(everything) * total).drop("g", "first")
-    cells = cut(cells, "rake-goals")
-    for s in range(sweeps):
-        if s and s % 4 == 0:
-            cells = cut(cells, "rake").coalesce(1) if one_task(cells) else cut(cells, "rake")
-        for m in MARGINS:
-            now = F.sum("weight").over(Window.partitionBy(m))
-            cells = cells.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"goal_{m}") / now).otherwise(F.lit(0.0)))
-    return cells.drop(*(f"goal_{m}" for m in MARGINS))
+            goal = F.pow(F.col("t") / F.col("total"), F.lit(flatten[m]))
+        values = values.withColumn("g", goal)
+        values = values.crossJoin(F.broadcast(values.agg(F.sum("g").alias("sum_g"))))
+        cells = cells.join(values.select(m, (F.col("g") / F.col("sum_g") * F.col("total")).alias(f"goal_{m}")), m)
+    return cells
+
+
+def _swept(cells: DataFrame, few: bool) -> DataFrame:
+    """One sweep: the weights scaled to the goals of each margin in turn."""
+    for m in MARGINS:
+        if few:
+            cells = cells.withColumn("now", F.sum("weight").over(Window.partitionBy(m)))
+        else:
+            cells = cells.join(cells.groupBy(m).agg(F.sum("weight").alias("now")), m)
+        cells = cells.withColumn("weight", F.when(F.col("now") > 0, F.col("weight") * F.col(f"goal_{m}") / F.col("now")).otherwise(F.lit(0.0))).drop("now")
+    return cells
+
 
+def _gap(cells: DataFrame) -> float:
+    """How far the worst value of any margin is from its goal, as a share of all tokens."""
+    far = [cells.groupBy(m).agg(F.abs(F.sum("weight") - F.first(f"goal_{m}")).alias("far")).agg(F.max("far")).first()[0] or 0.0 for m in MARGINS]
+    return max(far) / max(cells.agg(F.sum("tokens")).first()[0] or 1, 1)
 
-def one_task(cells: DataFrame) -> bool:
-    return len(cells.limit(FEW_CELLS + 1).select(F.lit(1)).take(FEW_CELLS + 1)) <= FEW_CELLS
+
+def raked(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, flatten: dict[str, float] | None = None, sweeps: int = SWEEPS, most_sweeps: int = MOST_SWEEPS, few_cells: int = FEW_CELLS) -> DataFrame:
+    """cells (source, lang, topic, tokens) with weight: tokens raked to the target shares of all three margins, same total.
+
+    targets gives shares per margin and value; values it does not name get weight 0. A margin without targets takes its natural
+    shares to the power flatten[margin] (FLATTEN for source and lang, 1 for topic). Targets that no weights can meet end in a warning.
+    """
+    flatten = {"source": FLATTEN, "lang": FLATTEN, "topic": 1.0} | (flatten or {})
+    few = _few(cells, few_cells)
+    cells = cut(_with_goals(cells, targets, flatten).withColumn("weight", F.col("tokens").cast("double")), "rake-goals")
+    done, steps = 0, 4 if few else 1
+    while done < most_sweeps:
+        for _ in range(min(steps, sweeps)):
+            cells = _swept(cells.coalesce(1) if few else cells, few)
+            done += 1
+        cells = cut(cells, "rake")
+        if done % sweeps == 0 and _gap(cells) <= TOLERANCE:
+            break
+    else:
+        warnings.warn(f"a margin is still {_gap(cells):.2g} of all tokens from its target after {done} sweeps", stacklevel=2)
+    return cells.drop(*(f"goal_{m}" for m in MARGINS))
 
 
 def with_chances(weights: DataFrame, keep: float = KEEP) -> DataFrame:
     """weights (tokens, weight) with mix_weight and mix_chance = least(1, mix_weight * scale); cells of weight 0 are outside the budget.
 
-    The tokens kept at a scale are the least, over k, of the tokens of the k cells of largest ratio plus scale times the weight of the
-    others; so the scale that meets the budget is the largest of (budget - those tokens) / that weight.
+    The scale is 1 over the largest ratio if that keeps enough. If not, it is the one at which the cells not taken whole, scaled, and those taken whole
+    together meet the budget: as it rises more cells are taken whole, so it is found again until their number stays.
     """
-    ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(F.lit(0.0))
-    weights = weights.withColumn("mix_weight", ratio)
-    everything = Window.partitionBy(F.lit(0))
-    falling = everything.orderBy(F.desc("mix_weight"), *MARGINS)
-    above = falling.rowsBetween(Window.unboundedPreceding, -1)
-    below = falling.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    live = F.when(F.col("mix_weight") > 0, F.col("tokens")).otherwise(F.lit(0)).cast("double")
-    short = F.lit(keep) * F.sum(live).over(everything) - F.coalesce(F.sum("tokens").over(above), F.lit(0))
-    rest = F.sum("weight").over(below)
-    weights = weights.withColumn("scale", F.when(rest > 0, short / rest))
-    scale, top = F.max("scale").over(everything), F.max("mix_weight").over(everything)
-    chance = F.when(scale * top > 1, F.least(F.col("mix_weight") * scale, F.lit(1.0))).when(top > 0, F.col("mix_weight") / top).otherwise(F.lit(0.0))
-    return weights.withColumn("mix_chance", chance).drop("scale")
-
-
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, topic: Column | None = None, tokens: Column | None = None, sweeps: int = SWEEPS, flatten: dict[str, float] | None = None, keep: float = KEEP) -> DataFrame:
+    weights = weights.withColumn("mix_weight", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(F.lit(0.0)))
+    live = weights.filter("mix_weight > 0")
+    top, budget, total = live.agg(F.max("mix_weight"), F.lit(keep) * F.sum("tokens"), F.sum("weight")).first()
+    if not top:
+        return weights.withColumn("mix_chance", F.lit(0.0))
+    scale, whole = 1 / top, 0
+    if total * scale < budget:
+        scale = budget / total
+        while True:
+            is_whole = F.col("mix_weight") * F.lit(scale) > 1
+            n, taken, rest = live.agg(F.count_if(is_whole), F.sum(F.when(is_whole, F.col("tokens")).otherwise(F.lit(0))), F.sum(F.when(~is_whole, F.col("weight")))).first()
+            if n == whole or not rest:
+                break
+            scale, whole = (budget - taken) / rest, n
+    return weights.withColumn("mix_chance", F.least(F.col("mix_weight") * F.lit(scale), F.lit(1.0)))
+
+
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, topic: Column | None = None, tokens: Column | None = None, sweeps: int = SWEEPS, flatten: dict[str, float] | None = None, keep: float = KEEP, few_cells: int = FEW_CELLS, most_sweeps: int = MOST_SWEEPS) -> DataFrame:
     """The drawn rows of docs with mix_topic, mix_tokens, mix_weight and mix_chance; other columns as they are.
 
-    A null source or language counts as the value ''. Where the id is null the text decides the draw; rows of equal id
-    are drawn together. An empty table gives no rows. Every row has a chance: sampling is what this operator does. The rows drawn
-    hold, in expectation, the target shares, but for cells that the budget keep (a share of the tokens) makes it take whole: those hold
-    less than their share, and no document is repeated.
+    Columns of docs with one of these four names are replaced. A null source or language counts as the value '', a null text as the empty text.
+    Where the id is null the text decides the draw; rows of equal id are drawn together. A very long text is drawn like any other, whole. An empty
+    table gives no rows. Every row has a chance: sampling is what this operator does. The rows drawn hold, in expectation, the target
+    shares, but for cells that the budget keep (a share of the tokens) makes it take whole: those hold less than their share, and no
+    document is repeated.
     """
-    names = docs.columns
-    topic = topic_of() if topic is None else topic
-    tokens = tokens_of() if tokens is None else tokens
-    rows = docs.select(*names, topic.alias("mix_topic"), tokens.alias("mix_tokens"), _margin("source").alias("__source"), _margin("lang").alias("__lang"))
-    cells = rows.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.coalesce("mix_topic", F.lit("")).alias("topic")).agg(F.sum("mix_tokens").alias("tokens"))
-    cells = cut(cells, "mix-cells")
-    few = one_task(cells)
-    weights = raked(cells.coalesce(1) if few else cells, targets, flatten, sweeps)
-    weights = cut(with_chances(weights, keep), "mix-weights")
-    side = weights.select(F.col("source").alias("__source"), F.col("lang").alias("__lang"), F.col("topic").alias("mix_topic"), "mix_weight", "mix_chance")
+    names = [n for n in docs.columns if n.lower() not in OUT]
+    own = [F.col("`" + n.replace("`", "``") + "`") for n in names]
+    x = fresh(names, "raking")
+    keys = [f"{x}_{m}" for m in MARGINS]
     draw = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double")
-    joined = rows.withColumn("mix_topic", F.coalesce("mix_topic", F.lit(""))).join(F.broadcast(side) if few else side, ["__source", "__lang", "mix_topic"])
-    return joined.filter((draw + 0.5) / F.lit(4294967296.0) < F.col("mix_chance")).select(*names, "mix_topic", "mix_tokens", "mix_weight", "mix_chance")
+    margins = [_margin("source"), _margin("lang"), F.coalesce(topic_of() if topic is None else topic, F.lit(""))]
+    rows = docs.select(*own, *(c.alias(k) for c, k in zip(margins, keys)), (tokens_of() if tokens is None else tokens).alias(f"{x}_tokens"), draw.alias(f"{x}_draw"))
+    cells = rows.groupBy(*(F.col(k).alias(m) for k, m in zip(keys, MARGINS))).agg(F.sum(f"{x}_tokens").alias("tokens"))
+    cells = cut(cells, "mix-cells")
+    weights = cut(with_chances(raked(cells, targets, flatten, sweeps, most_sweeps, few_cells), keep), "mix-weights")
+    side = weights.select(*(F.col(m).alias(k) for m, k in zip(MARGINS, keys)), F.col("mix_weight").alias(f"{x}_weight"), F.col("mix_chance").alias(f"{x}_chance"))
+    if _few(weights, few_cells):
+        joined = rows.join(F.broadcast(side), keys)
+    else:
+        salt = f"{x}_salt"
+        joined = rows.withColumn(salt, F.floor(F.col(f"{x}_draw") % SALT).cast("int")).join(side.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), [*keys, salt])
+    drawn = joined.filter((F.col(f"{x}_draw") + 0.5) / F.lit(4294967296.0) < F.col(f"{x}_chance"))
+    return drawn.select(*own, *(F.col(f"{x}_{c}").alias(f"mix_{c}") for c in ("topic", "tokens", "weight", "chance")))
 
 
 def oracle(table: str = "documents", sweeps: int = SWEEPS) -> str:
-    """DuckDB SQL for (doc_id, source, lang, topic, tokens, weight, chance) of the drawn rows, for the default targets."""
+    """DuckDB SQL for (doc_id, source, lang, topic, tokens, weight, chance) of the drawn rows, for the default targets and so many sweeps in all."""
     size = "strlen(coalesce(text, ''))"
     parts = [
         f"rows_ as (select doc_id, text, coalesce(source, '') as source, coalesce(lang, '') as lang, case when contains(text, ' | ') then 'table' when {size} < 600 then 'short' when {size} < 3000 then 'medium' else 'long' end as topic, {size} // 4 + 1 as tokens from {table})",

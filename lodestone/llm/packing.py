@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import gc
 import json
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -35,6 +36,8 @@ WINDOW = 4096
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 _MARKS = frozenset(".,;:!?")
+#: Characters below U+0250 that send a stretch to the tokenizer as it is: white space beyond ASCII, and the dotted capital I.
+_WHOLE = frozenset("\x85\xa0\u0130")
 
 
 class WordIds:
@@ -78,8 +81,9 @@ class WordIds:
         together = "\n".join(unseen)
         special = [x for x in self.special if x in together]
         for s in unseen:
-            # below U+0250 lower case and composition are the same for every version of Unicode and letter by letter
-            if not self.joins or not (s.isascii() or (max(s) < "\u0250" and "\xa0" not in s and "\x85" not in s)) or any(x in s for x in special):
+            # below U+0250 lower case and composition are the same for every version of Unicode and letter by letter, but for a capital I with
+            # a dot: its lower case ends in a combining dot, which is no letter and joins the mark after it
+            if not self.joins or not (s.isascii() or (max(s) < "\u0250" and _WHOLE.isdisjoint(s))) or any(x in s for x in special):
                 odd.append(s)
             elif s.isalpha():
                 cut_up.append((s, [s.lower()]))
@@ -127,9 +131,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end: int
     with open(tokenizer_path, encoding="utf-8") as f:
         config = docs.sparkSession.sparkContext.broadcast(f.read())
 
+    run_key = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # hundreds of thousands of live strings and no cycles
-        encode = worker_state(("word-ids", tokenizer_path), lambda: WordIds(config.value, room))
+        encode = worker_state(run_key, lambda: WordIds(config.value, room))
         for batch in batches:
             for part in slices(batch, "text"):
                 ids, lengths = encode(part.column("text"), end)

@@ -1,9 +1,11 @@
-"""Near-duplicate texts by the Jaccard similarity of their word shingles: MinHash bands find candidates, whole sets decide.
-
-Texts of equal sets are one class before anything else. Each class has a MinHash signature of BANDS bands of ROWS minima; classes that
-agree in a whole band meet in its bucket. First each class is compared with the lowest one of its buckets and what is linked
-becomes components; then classes that still meet across components are compared pair by pair. A link is always checked on both whole
-sets, so none is wrong; a pair of similarity s meets with chance 1 - (1 - s^ROWS)^BANDS (0.9996 at 0.8).
+"""Texts as sets of word shingles, and pairs of sets whose Jaccard similarity is high.
+
+simhash.py calls this for links that a few differing bits cannot reach. Texts of equal sets are one class. A class has a MinHash signature
+of BANDS bands of ROWS minima; classes that agree in a whole band meet in its bucket, a pair of similarity s with chance
+1 - (1 - s^ROWS)^BANDS (0.9996 at 0.8). In each bucket all classes are first compared with the one that meets most others, which
+for copies of one text is the text itself; what is linked becomes components. Buckets that still hold several components are compared
+pair by pair inside their tasks, on SKETCH one-bit minima a class, and only pairs whose sketches agree as often as those of similar
+sets do (all but 1 in 4000) leave the task. Whole sets decide every link, so none is wrong.
 """
 
 from __future__ import annotations
@@ -16,62 +18,108 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import as_bytes, cut, runs_of, slices, text_of, whole_runs
+from lodestone.llm.common import as_bytes, cut, runs_of, slices, whole_runs, words_of
 from lodestone.llm.graph import components
 
 SEED = 42
-WIDTH, LEAST = 5, 0.8
-BANDS, ROWS = 20, 5
+BANDS, ROWS, SKETCH = 20, 5, 1024
+#: How many standard deviations a sketch may lie below what is expected at the least similarity.
+SIGMAS = 3.5
+_U = np.uint64
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers with all bits stirred."""
+    x = (x ^ (x >> _U(33))) * _U(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> _U(33))) * _U(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> _U(33))
 
 
-def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles; a text of fewer words has one shingle, one without words none."""
-    words = text.lower().split()
-    if len(words) <= width:
-        shingles = [b" ".join(words)] if words else []
-    else:
-        shingles = map(b" ".join, zip(*(words[i:] for i in range(width))))
-    return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(s, SEED) for s in shingles]), ">u8").astype(np.uint64))
+def _odd(n: int, stream: int) -> np.ndarray:
+    return np.random.default_rng([SEED, stream]).integers(0, 2**64, n, dtype=_U) | _U(1)
 
 
-def _signatures(width: int, bands: int, rows: int, block: int = 2048):
-    rng = np.random.default_rng(SEED)
-    times, plus, mixer = (rng.integers(0, 2**64, bands * rows, dtype=np.uint64) | np.uint64(1) for _ in range(3))
+def shingle_hashes(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of all texts one after another, repeats included, and how many each has.
+
+    A text of fewer words than width has one shingle, all of it; a text without words has none.
+    """
+    words, lengths = words_of(texts)
+    coded = words.dictionary_encode()
+    of_word = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in as_bytes(coded.dictionary)), _U, len(coded.dictionary))
+    word = np.concatenate((of_word[coded.indices.to_numpy(zero_copy_only=False)], np.zeros(width, _U)))
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    at = np.arange(len(doc))
+    end = np.cumsum(lengths)[doc]
+    weights = _odd(width, 1)
+    total = np.zeros(len(doc), _U)
+    for j in range(width):  # a word beyond the text's end counts as 0
+        total += np.where(at + j < end, word[j : j + len(doc)], _U(0)) * weights[j]
+    first = at == end - lengths[doc]
+    keep = (at + width <= end) | (first & (lengths[doc] < width))
+    return mixed(total[keep]), np.bincount(doc[keep], minlength=len(lengths)).astype(np.int64)
+
+
+def sets_of(hashes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of each text, sorted within it, and how many each has."""
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    order = np.lexsort((hashes, doc))
+    doc, hashes = doc[order], hashes[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
+    return hashes[new], np.bincount(doc[new], minlength=len(lengths)).astype(np.int64)
+
+
+def _reduced(ufunc: np.ufunc, values: np.ndarray, lengths: np.ndarray, empty) -> np.ndarray:
+    """ufunc over the values of each text; `empty` where a text has none."""
+    out = np.full(len(lengths), empty, values.dtype)
+    some = lengths > 0
+    if some.any():
+        out[some] = ufunc.reduceat(values, (np.cumsum(lengths) - lengths)[some])
+    return out
+
+
+def fingerprints_of(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """SimHash of each text: bit b is 1 if it is set in over half of the text's hashes; 0 without any."""
+    out = np.zeros(len(lengths), _U)
+    for b in range(64):
+        ones = _reduced(np.add, ((hashes >> _U(b)) & _U(1)).astype(np.int64), lengths, 0)
+        out |= (2 * ones > lengths).astype(_U) << _U(b)
+    return out.view(np.int64)
+
+
+def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(values))
+
+
+def _signatures(width: int, bands: int, rows: int):
+    times, plus, mixer = (_odd(bands * rows, k) for k in (2, 3, 4))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                keys, buckets, sets = [], [], []
-                for text in as_bytes(part.column("text")):
-                    hashes = shingle_set(text, width)
-                    keys.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
-                    sets.append(np.unique(hashes.astype(np.uint32)).view(np.int32))
-                    least = np.full(bands * rows, 2**64 - 1, np.uint64)
-                    for at in range(0, len(hashes), block):
-                        least = np.minimum(least, (hashes[at : at + block, None] * times + plus).min(axis=0))
-                    band = (least * mixer).reshape(bands, rows).sum(axis=1, dtype=np.uint64)
-                    buckets.append(band.view(np.int64) if len(hashes) else np.zeros(0, np.int64))
-                lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x))) for x in (buckets, sets)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.array(keys, np.uint64).view(np.int64)), *lists], ["doc_id", "key", "buckets", "shingles"])
+                every, n_every = shingle_hashes(part.column("text"), width)
+                hashes, n = sets_of(every, n_every)
+                key = mixed(_reduced(np.add, mixed(hashes ^ _U(0x9E3779B97F4A7C15)), n, 0) + n.astype(_U))
+                band = np.zeros((bands, part.num_rows), _U)
+                for k in range(bands * rows):
+                    band[k // rows] += _reduced(np.minimum, hashes * times[k] + plus[k], n, 0) * mixer[k]
+                some = np.nonzero(n > 0)[0]
+                buckets = mixed(band.T[some] + np.arange(bands, dtype=_U)).view(np.int64)
+                columns = [part.column("doc_id"), part.column("h"), pa.array(key.view(np.int64)), pa.array(fingerprints_of(every, n_every))]
+                columns += [_lists(buckets.reshape(-1), np.where(n > 0, bands, 0)), _lists(hashes.astype(np.uint32).view(np.int32), n)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "key", "fp", "buckets", "shingles"])
 
     return run
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different roots in each bucket, but for those with its lowest key."""
-    for rows in whole_runs(batches, "bucket"):
-        bucket, key, root = (rows.column(c).to_numpy() for c in ("bucket", "key", "root"))
-        for s, k in zip(*runs_of(bucket)):
-            order = s + np.argsort(key[s : s + k])[1:]
-            for i, one in enumerate(order):
-                other = order[i + 1 :]
-                other = other[root[other] != root[one]]
-                if len(other):
-                    yield pa.RecordBatch.from_arrays([pa.array(key[other]), pa.array(np.full(len(other), key[one]))], ["a", "b"])
+def signatures(texts: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(doc_id, h, key, fp, buckets, shingles) of (doc_id, h, text): the class of equal sets, SimHash, buckets, and 32 bits of each distinct shingle's hash."""
+    return texts.mapInArrow(_signatures(width, bands, rows), "doc_id long, h long, key long, fp long, buckets array<long>, shingles array<int>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: float, share: int = 1024) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough. A b with many pairs is dealt out, share pairs at a time."""
+def verified(pairs: DataFrame, sets: DataFrame, least: float, share: int = 1024) -> DataFrame:
+    """The pairs (a, b) whose whole sets (key, shingles) are similar enough. A b with many pairs is dealt out, share pairs at a time."""
     many = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(share)).cast("int").alias("k"))
     pairs = pairs.join(many, "b").withColumn("deal", F.pmod(F.xxhash64("a"), "k").cast("int")).drop("k")
     needed = pairs.select(F.col("a").alias("key")).union(many.select("b")).distinct()
@@ -80,34 +128,86 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float, share: int = 1024
     right = sets.withColumnRenamed("key", "b").join(many, "b").select("b", F.col("shingles").alias("right"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("deal"))
     both = pairs.join(left, "a").join(right, ["b", "deal"])
     common = F.size(F.array_intersect("left", "right"))
-    return both.select("a", "b", (common / (F.size("left") + F.size("right") - common)).alias("similarity")).filter(F.col("similarity") >= least).select("a", "b")
+    return both.filter(common >= F.lit(least) * (F.size("left") + F.size("right") - common)).select("a", "b")
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One bit of SKETCH minima for each set."""
+    times, plus = _odd(SKETCH, 5), _odd(SKETCH, 6)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            sets = part.column("shingles")
+            n = np.diff(sets.offsets.to_numpy()).astype(np.int64)
+            hashes = mixed(sets.flatten().to_numpy(zero_copy_only=False).view(np.uint32).astype(_U))
+            bits = np.empty((SKETCH, part.num_rows), np.uint8)
+            for k in range(SKETCH):
+                bits[k] = (mixed(_reduced(np.minimum, hashes * times[k] + plus[k], n, 0)) & _U(1)).astype(np.uint8)
+            packed = np.packbits(bits.T, axis=1)
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(n), pa.array([r.tobytes() for r in packed], pa.binary())], ["key", "n", "sketch"])
+
+
+def _across(least: float, block: int = 256):
+    """Pairs of classes of different roots in each group that may be similar, by their sizes and sketches."""
+    expected = (1 + least) / 2
+    most = int(SKETCH * (1 - expected) + SIGMAS * np.sqrt(SKETCH * expected * (1 - expected)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_runs(batches, "group"):
+            group, key, root, n, part, cross = (rows.column(c).to_numpy() for c in ("group", "key", "root", "n", "part", "cross"))
+            sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(key), -1)
+            for s, k in zip(*runs_of(group)):
+                for at in range(s, s + k, block):
+                    i = np.arange(at, min(at + block, s + k))
+                    j = np.arange(at, s + k)
+                    ok = (i[:, None] < j[None]) & (root[i][:, None] != root[j][None])
+                    ok &= np.minimum(n[i][:, None], n[j][None]) >= least * np.maximum(n[i][:, None], n[j][None])
+                    if cross[s]:
+                        ok &= part[i][:, None] != part[j][None]
+                    a, b = np.nonzero(ok)
+                    for to in range(0, len(a), 1 << 16):
+                        x, y = i[a[to : to + (1 << 16)]], j[b[to : to + (1 << 16)]]
+                        near = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64) <= most
+                        x, y = key[x[near]], key[y[near]]
+                        if len(x):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
+
+    return run
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, component_id) for every row of docs, repeated rows included.
+def links(marks: DataFrame, given: DataFrame, least: float, block: int = 8192) -> tuple[DataFrame, DataFrame]:
+    """(links, roots): links (a, b) of classes that connect all that bands bring together, and roots (node, root) of those that are linked.
 
-    component_id is the smallest doc_id of all texts reached over links of similarity least or more. Texts without words are equal. Null
-    ids are treated as in simhash.near_duplicates. Sets are compared on 32 bits of each shingle's hash.
+    marks is what signatures() gives; given holds pairs (a, b) from elsewhere that are to be verified too. A bucket of more than block classes
+    is dealt out as pairs of its chunks.
     """
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    marks = cut(source.mapInArrow(_signatures(width, bands, rows), "doc_id long, key long, buckets array<long>, shingles array<int>"), "shingle-signatures")
-    classes = cut(marks.groupBy("key").agg(F.min("doc_id").alias("first")), "shingle-classes")
-    met = marks.select("key", F.posexplode("buckets").alias("band", "cell")).select("key", F.xxhash64("band", "cell").alias("bucket")).distinct()
-    met = cut(met, "buckets")
-    lowest = cut(met.groupBy("bucket").agg(F.min("key").alias("b"), F.count("*").alias("n")).filter("n > 1"), "bucket-lowest")
     sets = marks.select("key", "shingles")
-    stars = cut(met.join(lowest, "bucket").filter("key <> b").select(F.col("key").alias("a"), "b").distinct(), "bucket-stars")
-    links = cut(_verified(stars, sets, least), "star-links")
-    roots = components(links)
-    rooted = met.join(lowest.filter("n > 2").select("bucket"), "bucket", "left_semi").join(roots, F.col("key") == F.col("node"), "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
-    mixed = rooted.groupBy("bucket").agg((F.min("root") < F.max("root")).alias("mixed")).filter("mixed").select("bucket")
-    rooted = cut(rooted.join(mixed, "bucket", "left_semi"), "mixed-buckets")
-    width_ = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    across = rooted.repartition(width_, "bucket").sortWithinPartitions("bucket").mapInArrow(_across, "a long, b long")
+    met = marks.select("key", F.explode("buckets").alias("bucket")).distinct()
+    crowd = met.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    met = cut(met.join(crowd, "bucket"), "buckets")  # only where classes meet
+    central = met.groupBy("key").agg(F.sum("n").alias("meets"))
+    hubs = met.join(central, "key").groupBy("bucket").agg(F.max(F.struct("meets", "key")).alias("hub"))
+    hubs = cut(hubs.select("bucket", F.col("hub.key").alias("b")), "bucket-hubs")
+    stars = met.join(hubs, "bucket").filter("key <> b").select(F.greatest("key", "b").alias("a"), F.least("key", "b").alias("b"))
+    stars = cut(stars.union(given.select(F.greatest("a", "b"), F.least("a", "b"))).distinct(), "bucket-stars")
+    found = cut(verified(stars, sets, least), "star-links")
+    roots = components(found)
+    rooted = met.filter("n > 2").join(roots, F.col("key") == F.col("node"), "left").select("bucket", "n", "key", F.coalesce("root", "key").alias("root"))
+    several = rooted.groupBy("bucket").agg((F.min("root") < F.max("root")).alias("several")).filter("several").select("bucket")
+    rooted = cut(rooted.join(several, "bucket", "left_semi"), "mixed-buckets")
+    if rooted.isEmpty():
+        return found, roots
+    needed = rooted.select("key").distinct()
+    sketches = cut(sets.join(needed, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles")).mapInArrow(_sketches, "key long, n long, sketch binary"), "sketches")
+    k = F.ceil(F.col("size") / F.lit(block // 2)).cast("int")
+    mine = F.pmod(F.xxhash64("key"), k).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.struct((F.greatest(j, mine) * k + F.least(j, mine)).alias("pair"), (j != mine).alias("cross")))
+    dealt = rooted.withColumnRenamed("n", "size").withColumn("d", F.explode(F.when(F.col("size") > block, pairs).otherwise(F.array(F.struct(F.lit(-1).alias("pair"), F.lit(False).alias("cross"))))))
+    dealt = dealt.select(F.when(F.col("d.pair") < 0, F.col("bucket")).otherwise(F.xxhash64("bucket", "d.pair")).alias("group"), "key", "root", mine.alias("part"), "d.cross").join(sketches, "key")
+    tasks = int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    across = dealt.repartition(tasks, "group").sortWithinPartitions("group").mapInArrow(_across(least), "a long, b long")
     across = cut(across.distinct(), "bucket-pairs")
     if not across.isEmpty():
-        roots = components(links.union(_verified(across, sets, least)))
-    linked = cut(roots.join(classes, roots.node == classes.key).select("key", "root", "first"), "linked-classes")
-    named = linked.join(linked.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("key", "component_id")
-    every = classes.join(named, "key", "left").select("key", F.coalesce("component_id", "first").alias("component_id"))
-    return marks.select("doc_id", "key").join(every, "key").select("doc_id", "component_id")
+        found = cut(found.union(verified(across, sets, least)), "all-links")
+        roots = components(found)
+    return found, roots

@@ -17,11 +17,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import as_bytes, cut, lowest_labels, partitions, runs_of, slices, text_of, whole_runs
+from lodestone.llm import shingles
+from lodestone.llm.common import as_bytes, cut, fresh, lowest_labels, runs_of, slices, text_of, whole_runs, wide
 from lodestone.llm.graph import components
 
 SEED = 42
 MAX_BITS = 3
+#: Up to so many ids and text hashes (16 bytes each, so 16 MB) of documents that go are broadcast.
+MOST_BROADCAST = 1_000_000
 _PAIRS = np.uint64(0x5555555555555555)
 _NIBBLES = np.uint64(0x3333333333333333)
 _HIGH = np.uint64(0x8888888888888888)
@@ -48,17 +51,17 @@ def fingerprint(text: bytes, width: int = 3, block: int = 1 << 14) -> int:
     return int(np.packbits(2 * total > n).view(">u8")[0].astype(np.uint64).view(np.int64))
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, "text"):
-            texts = as_bytes(part.column("text"))
-            fp = np.fromiter(map(fingerprint, texts), np.int64, len(texts))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
+    """(doc_id, fp) for every row; a null text has no words, and a text without words has fingerprint 0."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                texts = as_bytes(part.column("text"))
+                fp = np.fromiter((fingerprint(t, width) for t in texts), np.int64, len(texts))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp) for every row; a null text has no words, and a text without words has fingerprint 0."""
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def segment_counts(fp: np.ndarray) -> np.ndarray:
@@ -76,21 +79,15 @@ def manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each fingerprint its own cell in both halves (home) and the cells one step above."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1 << 16):
-            fp = batch.column("fp").to_numpy(zero_copy_only=False)[at : at + (1 << 16)]
-            counts = segment_counts(fp)
-            cells, who, home = [], [], []
-            for half in (0, 1):
-                code = (counts >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)
-                base = code.astype(np.int64) | np.int64(half << 32)
-                cells.append(base), who.append(fp), home.append(np.ones(len(fp), bool))
-                for s in range(16):
-                    up = ((code >> np.uint64(2 * s)) & np.uint64(3)) < 2
-                    cells.append(base[up] + (1 << (2 * s))), who.append(fp[up]), home.append(np.zeros(int(up.sum()), bool))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (cells, who, home)], ["cell", "fp", "home"])
+def _cells(distinct: DataFrame) -> DataFrame:
+    """(cell, fp, home) for each fingerprint: its own cell in both halves (home), and the cells one step above."""
+    cells = []
+    for half, bits in enumerate((F.col("fp").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("fp", 32))):
+        own = (bits - F.shiftright(bits, 1).bitwiseAND(int(_PAIRS) & 0xFFFFFFFF)).bitwiseOR(half << 32)
+        cells.append(own)
+        cells += [F.when(F.shiftright(own, 2 * s).bitwiseAND(3) < 2, own + F.lit(1 << (2 * s))) for s in range(16)]
+    rows = distinct.select("fp", F.posexplode(F.array(*cells)).alias("pos", "cell")).filter("cell is not null")
+    return rows.select("cell", "fp", (F.col("pos") % 17 == 0).alias("home"))
 
 
 def _linked(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
@@ -134,7 +131,8 @@ def links(distinct: DataFrame, bits: int = MAX_BITS, small: int = 32, block: int
     """
     assert bits <= MAX_BITS, "two halves and single steps cover at most three bits"
     spark = distinct.sparkSession
-    rows = distinct.mapInArrow(_cells, "cell long, fp long, home boolean")
+    n = distinct.count()
+    rows = _cells(wide(distinct, n, 50_000))  # some 34 rows each
     crowded = cut(rows.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > block), "crowded-cells")
     key = "cell"
     if not crowded.isEmpty():
@@ -144,18 +142,19 @@ def links(distinct: DataFrame, bits: int = MAX_BITS, small: int = 32, block: int
         rows = rows.join(crowded, "cell", "left").withColumn("block", F.explode(F.when(F.col("n").isNull(), F.array(F.lit(-1))).otherwise(pair)))
         rows = rows.select(F.when(F.col("block") < 0, F.col("cell")).otherwise(F.xxhash64("cell", "block")).alias("cell"), "fp", "home")
         # within a chunk pair a home row may be in the other chunk pair only; verified links make that harmless
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, key).sortWithinPartitions(key).mapInArrow(_links(small, bits), "a long, b long")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 34 * n // 2_000_000)
+    return rows.repartition(tasks, key).sortWithinPartitions(key).mapInArrow(_links(small, bits), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = MAX_BITS, block: int = 8192) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = MAX_BITS, block: int = 8192, width: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs, repeated rows included.
 
     Texts of equal fingerprint form one class before any comparison. component_id is the smallest doc_id of all classes reached
     over links of at most bits differing bits. A null doc_id is kept and never named as a component unless all ids of it are null
-    (then null). Columns of docs other than the two named play no part; an empty table gives no rows.
+    (then null). A null or empty text has no words and fingerprint 0; a very long text is hashed whole, in blocks. Columns of docs other than the two named
+    play no part; an empty table gives no rows.
     """
-    fps = cut(fingerprints(docs, doc_id, text), "fingerprints")
+    fps = cut(fingerprints(docs, doc_id, text, width), "fingerprints")
     classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-classes")
     roots = components(links(classes.select("fp"), bits, block=block))
     linked = cut(roots.join(classes, roots.node == classes.fp).select("fp", "root", "first"), "linked-classes")
@@ -165,6 +164,54 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return fps.join(every, "fp").select("doc_id", "fp", "component_id")
 
 
+def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, width: int = 5, bits: int = MAX_BITS) -> DataFrame:
+    """(doc_id, h, first_id, first_h) for every row of docs: h is a hash of its text, the other two name the first row of its group.
+
+    Texts are linked if the Jaccard similarity of their sets of width-word shingles is at least similarity. Candidates are the pairs that the
+    grid finds within bits differing bits of their SimHash, and, because sets at 0.8 differ in some ten bits, those that shingles.links
+    brings together; whole sets decide on each. The first row of a group has its smallest doc_id, nulls last, and of several texts with that
+    id the one of smallest h. Texts without words form one group; a text of fewer words than width is one shingle.
+    """
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).withColumn("h", F.xxhash64("text"))
+    marks = cut(shingles.signatures(source.select("doc_id", "h", "text"), width), "shingle-signatures")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("first")
+    classes = cut(marks.groupBy("key").agg(first, F.min("fp").alias("fp")), "shingle-classes")
+    of_fp = cut(classes.groupBy("fp").agg(F.min("key").alias("low"), F.count("*").alias("n")), "fingerprint-classes")
+    same = classes.join(of_fp.filter("n > 1"), "fp").filter("key <> low").select(F.col("key").alias("a"), F.col("low").alias("b"))
+    near = links(of_fp.select("fp"), bits).select(F.col("a").alias("fa"), F.col("b").alias("fb"))
+    near = near.join(of_fp.select(F.col("fp").alias("fa"), F.col("low").alias("a")), "fa").join(of_fp.select(F.col("fp").alias("fb"), F.col("low").alias("b")), "fb").select("a", "b")
+    _, roots = shingles.links(marks, cut(same.union(near), "near-fingerprints"), similarity)
+    linked = cut(roots.join(classes, roots.node == classes.key).select("key", "root", "first"), "linked-classes")
+    named = linked.join(linked.groupBy("root").agg(F.min("first").alias("lowest")), "root").select("key", "lowest")
+    every = classes.join(named, "key", "left").select("key", F.coalesce("lowest", "first").alias("lowest"))
+    return marks.select("doc_id", "h", "key").join(every, "key").select("doc_id", "h", F.col("lowest.doc_id").alias("first_id"), F.col("lowest.h").alias("first_h"))
+
+
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, width: int = 5, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """One row of each group of similar_groups(), with all columns of docs: the first row; of rows that share its id and text, the one of lowest hash.
+
+    Rows that share an id but belong to different groups all stay, as do rows without an id that resemble no other. An empty table gives no rows.
+    """
+    found = cut(similar_groups(docs, doc_id, text, similarity, width), "similar-groups")
+    is_first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h"))
+    gone = cut(found.filter(~is_first).select("doc_id", "h").distinct(), "group-others")
+    again = cut(found.filter(is_first).groupBy("doc_id", "h").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "h"), "repeated-firsts")
+    x = fresh(docs.columns, "row")
+    own = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    rows = docs.select(*own, F.col(doc_id).cast("long").alias(f"{x}_id"), F.xxhash64(text_of(text)).alias(f"{x}_h"))
+
+    def matched(left: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+        few = ids.count() <= most_broadcast  # 16 bytes each; then whole texts need no shuffle, beyond it the planner decides
+        ids = (F.broadcast(ids) if few else ids).select(F.col("doc_id").alias(f"{x}_other_id"), F.col("h").alias(f"{x}_other_h"))
+        return left.join(ids, F.col(f"{x}_id").eqNullSafe(F.col(f"{x}_other_id")) & (F.col(f"{x}_h") == F.col(f"{x}_other_h")), how)
+
+    rest = matched(rows, gone, "left_anti")
+    if again.isEmpty():
+        return rest.select(*own)
+    lowest = matched(rest, again, "left_semi").groupBy(f"{x}_id", f"{x}_h").agg(F.min_by(F.struct(*own), F.xxhash64(*own)).alias(x))
+    return matched(rest, again, "left_anti").select(*own).union(lowest.select(*(F.col(x).getField(c).alias(c) for c in docs.columns)))
+
+
 def hex_of(fp: str = "fp"):
     """The fingerprint as 16 lower-case hexadecimal digits."""
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))

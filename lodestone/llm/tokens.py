@@ -2,8 +2,8 @@
 
 A text is split into the tokenizer's pre-tokens; a pre-token's number of tokens never depends on its neighbours. Lengths come from a
 broadcast table of frequent pre-tokens and, for the rest, from a bounded cache in each Python worker, whose misses are
-encoded together. Everything happens where the rows lie: no pre-token is ever shuffled. The table is drawn from a bounded number
-of documents and decides only how often the second tier is asked, never a result.
+encoded together. Everything happens where the rows lie: no pre-token is ever shuffled. The table is drawn from a bounded sample of
+texts and decides only how often the second tier is asked, never a result.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import as_strings, cut, load_tokenizer, slices, text_of, worker_state
+from lodestone.llm.common import as_strings, load_tokenizer, slices, text_of, worker_state
 
 #: Fixed value: how byte-level BPE cuts a text, with white space as Unicode defines it.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -126,8 +126,11 @@ class PreTokenLengths:
         return total
 
 
-def frequent(docs: DataFrame, config, size: int, sample: int) -> dict[str, int]:
-    """Lengths of the size commonest pre-tokens of at most sample documents, those lowest by a hash of the id."""
+def frequent(docs: DataFrame, config, size: int, sample: int, most_bytes: int = 1 << 16) -> dict[str, int]:
+    """Lengths of the size commonest pre-tokens of about sample distinct texts of at most most_bytes each, chosen by a hash; twice as many at most.
+
+    One task counts them, so it reads 2 * sample * most_bytes bytes at most.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
@@ -141,8 +144,9 @@ def frequent(docs: DataFrame, config, size: int, sample: int) -> dict[str, int]:
         lengths = [len(e.ids) for e in load_tokenizer(config.value).encode_batch(top, add_special_tokens=False)] if top else []
         yield pa.RecordBatch.from_arrays([pa.array(top, pa.string()), pa.array(lengths, pa.int64())], ["p", "n"])
 
-    chosen = cut(docs.select("doc_id").filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "token-sample").distinct()
-    few = docs.join(F.broadcast(chosen), "doc_id").select("text").coalesce(1)
+    one_in = max(1, docs.count() // sample)
+    short = docs.select("text", F.xxhash64("text").alias("h")).filter((F.octet_length("text") <= most_bytes) & (F.pmod("h", F.lit(one_in)) == 0))
+    few = short.groupBy("h").agg(F.first("text").alias("text")).limit(2 * sample).select("text").coalesce(1)
     got = few.mapInArrow(run, "p string, n long").toArrow()
     return dict(zip(got["p"].to_pylist(), got["n"].to_pylist()))
 
@@ -151,8 +155,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, table_s
     """(doc_id, n_bytes, n_tokens, over_limit) of every row, as the tokenizers library counts without added special tokens.
 
     tokenizer_path names a byte-level BPE file in JSON; it is read on the driver and broadcast. A null text counts as empty:
-    no bytes, no tokens. Repeated rows give repeated results, an empty table none; other columns play no part. over_limit: more
-    than limit tokens.
+    no bytes, no tokens. Repeated rows give repeated results, an empty table none; other columns play no part. A very long text is counted
+    whole, in a slice of its own; a null id stays null. over_limit: more than limit tokens.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
@@ -165,7 +169,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, table_s
         gc.disable()  # hundreds of thousands of live strings and no cycles
         lengths = worker_state(run_key, lambda: PreTokenLengths(config.value, table.value, room))
         for batch in batches:
-            for part in slices(batch, "text", 16 << 20):
+            for part in slices(batch, "text", 8 << 20):
                 n = pa.array(lengths.counts(part.column("text")))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), n], ["doc_id", "n_bytes", "n_tokens"])
 
