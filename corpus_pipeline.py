@@ -5,15 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lodestone.llm import classify, mixing, packing, shingles
+from lodestone.llm import classify, mixing, packing, simhash
 from lodestone.llm.common import cut, table
 from lodestone.llm.queries import vocabulary
 
-#: Up to so many ids (8 bytes each, so 8 MB) of documents that go are broadcast.
-MOST_BROADCAST_IDS = 1_000_000
-
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -28,15 +24,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of lowest id in each group of near duplicates (five-word Jaccard 0.8 or more); rows without an id stay."""
-    found = shingles.near_duplicates(docs).filter("doc_id is not null")
-    ids = cut(found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")), "group-members")
-    gone = cut(ids.filter("doc_id <> component_id").select("doc_id"), "group-others")
-    few = gone.count() <= MOST_BROADCAST_IDS  # then whole texts need no shuffle; beyond it the planner decides
-    rest = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
-    if not ids.filter("n > 1 and doc_id = component_id").isEmpty():  # an id that occurs more than once stays once
-        rest = rest.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(rest.filter("doc_id is null"))
-    return rest
+    """Keeps one document of each group of near duplicates (five-word Jaccard 0.8 or more); texts that differ more stay, whatever their ids."""
+    return simhash.keep_first(docs, similarity=0.8, width=5)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
