@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,9 +43,8 @@ def token_count(text: Column) -> Column:
 
 
 def search_tokens(text: Column) -> Column:
-    """Tokens for keyword search: lower case, a-z and digits only, at least three characters."""
-    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9\s]", " ")
-    return F.filter(F.split(plain, r"\s+"), lambda t: F.length(t) > 2)
+    """Tokens for keyword search: in lower case the runs of a-z and digits, of at least three characters."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]{3,}"), F.lit(0))
 
 
 def caption_number(text: Column) -> Column:
@@ -79,9 +81,59 @@ def timestamp(seconds: Column) -> Column:
 
 def keyword_tokens(text: Column, stop: list[str]) -> Column:
     """Words of at least four letters, digits or underscores in lower case, without stop words."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{4,}"), F.lit(0))
-    return F.filter(words, lambda w: ~w.isin(stop))
+    word = r"[\p{L}\p{N}_]"
+    pattern = rf"(?<!{word})(?!(?:{'|'.join(stop)})(?!{word})){word}{{4,}}" if stop else rf"{word}{{4,}}"
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(0))
+
+
+def counted(words: Column) -> Column:
+    """The distinct words of each row, array of (word, n), the commonest first and of equals the one that comes first. Nothing is shuffled."""
+
+    @F.arrow_udf("array<struct<word:string,n:int>>")
+    def count(words: pa.Array) -> pa.Array:
+        rows = [None if w is None else [{"word": k, "n": n} for k, n in Counter(w).most_common()] for w in words.to_pylist()]
+        return pa.array(rows, pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())])))
+
+    return count(words)
+
+
+def top_words(words: Column, n: int) -> Column:
+    """The n commonest words of each row, the earlier of equals first."""
+    return F.transform(F.slice(counted(words), 1, n), lambda x: x.word)
 
 
 def preview(text: Column, size: int) -> Column:
     return F.when(F.length(text) > size, F.concat(F.substring(text, 1, size), F.lit("..."))).otherwise(text)
+
+
+def time_of_day(seconds: Column) -> Column:
+    """Whole seconds as [D day[s], ]H:MM:SS."""
+    whole = F.floor(seconds).cast("long")
+    days = F.floor(whole / 86400)
+    clock = F.format_string("%d:%02d:%02d", F.floor(whole % 86400 / 3600), F.floor(whole % 3600 / 60), whole % 60)
+    return F.concat(F.when(days == 1, "1 day, ").when(days > 1, F.concat(days.cast("string"), F.lit(" days, "))).otherwise(F.lit("")), clock)
+
+
+def fixed3(value: Column) -> Column:
+    """Three decimals, rounded by the number's exact binary value and, where that lies halfway, to the even digit; format_string rounds its decimal form."""
+    v = F.abs(value.cast("double"))
+    twice = F.round(v * 2000.0)  # odd where v may lie halfway between two thousandths
+    beyond = ((v * 2048.0 - twice) - v * 32.0) - v * 16.0  # exactly v * 2000 - twice
+    halfway = (twice % 2 == 1) & (F.abs(beyond) < 1e-6)
+    down = F.floor(twice / 2)
+    thousandths = F.when(beyond < 0, down).when(beyond > 0, down + 1).otherwise(down + down % 2)
+    return F.format_string("%.3f", F.when(halfway, thousandths / F.lit(1000.0)).otherwise(v) * F.when(value < 0, -1.0).otherwise(1.0))
+
+
+def plain_number(value: Column) -> Column:
+    """A double not below 0 as the shortest decimals that give it back, always with a point; exponents from 1e16 up only."""
+    short = value.cast("string")
+    spread = F.regexp_replace(short.cast("decimal(38,18)").cast("string"), "0+$", "")
+    huge = F.concat(F.regexp_replace(F.split_part(short, F.lit("E"), F.lit(1)), r"\.0$", ""), F.lit("e+"), F.lpad(F.split_part(short, F.lit("E"), F.lit(2)), 2, "0"))
+    return F.when(~short.contains("E"), short).when(value >= 1e16, huge).otherwise(F.concat(spread, F.when(F.endswith(spread, F.lit(".")), "0").otherwise("")))
+
+
+def asked_parts(request: Column) -> Column:
+    """Of a request like 'text: a; image: b; audio: c' the parts (text, image, audio), null where a key is missing; a value goes on to the next semicolon."""
+    part = lambda key: F.nullif(stripped(F.regexp_extract(request, rf"{key}:([^;]+)", 1)), F.lit("")).alias(key)
+    return F.struct(part("text"), part("image"), part("audio"))

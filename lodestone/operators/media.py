@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import timestamp
+from lodestone.functions.text import time_of_day, timestamp
+from lodestone.store import cut
 
 # Signs of a screenshot.
 KEYWORDS = [
@@ -46,6 +48,7 @@ def screenshots(images: DataFrame) -> DataFrame:
 
 def image_types(images: DataFrame) -> DataFrame:
     """The result of screenshots() with primary_type, sub_type and content_description."""
+    # The signs of each type and the words of the descriptions.
     low, n, shot = F.lower(F.coalesce("ocr_text", F.lit(""))), F.col("word_count"), F.col("is_screenshot")
     has = lambda *signs: _hits(low, list(signs)) > 0
     kind = F.when(shot, "screenshot").when(n > 50, "document").when((n > 10) & has("chart", "graph", "figure", "diagram"), "diagram").when(n > 10, "mixed").otherwise("photo")
@@ -65,11 +68,48 @@ def image_types(images: DataFrame) -> DataFrame:
 
 
 def best_reading(attempts: DataFrame) -> DataFrame:
-    """Of (image_id, attempt_no, confidence, text) the attempt of highest confidence, the earliest of equals; readings without confidence lose."""
+    """Of (image_id, attempt_no, confidence, text, ...) the attempt of highest confidence, the earliest of equals; readings without confidence lose."""
     order = Window.partitionBy("image_id").orderBy(F.desc("confidence"), "attempt_no")
     return attempts.filter("confidence > 0").withColumn("n", F.row_number().over(order)).filter("n = 1").drop("n")
 
 
+def readings(images: DataFrame, attempts: DataFrame) -> DataFrame:
+    """(image_id, ocr_text, ocr_confidence, word_count, has_text, ocr_method) of every image: its best reading, or an empty one where every attempt failed.
+
+    attempts holds (image_id, attempt_no, confidence, text, word_count, method). A text counts as found with over ten characters and a mean confidence over 50.
+    """
+    best = best_reading(attempts).select("image_id", "text", "confidence", F.col("word_count").alias("n_words"), "method")
+    all_ = images.select("image_id").distinct().join(best, "image_id", "left")
+    text, confidence = F.coalesce("text", F.lit("")), F.coalesce("confidence", F.lit(0.0))
+    return all_.select("image_id", text.alias("ocr_text"), confidence.alias("ocr_confidence"), F.coalesce("n_words", F.lit(0)).alias("word_count"), ((F.length(F.trim(text)) > 10) & (confidence > 50)).alias("has_text"), F.coalesce("method", F.lit("none")).alias("ocr_method"))
+
+
+def image_statistics(chunks: DataFrame) -> DataFrame:
+    """One row (total, screenshots, with_text, avg_confidence, types) of image chunks; the mean is 0 without any, types counts primary/sub."""
+    m = F.col("metadata")
+    kinds = chunks.groupBy(F.concat(m["primary_type"], F.lit("/"), m["sub_type"]).alias("kind")).agg(F.count("*").alias("n"), F.count_if(m["is_screenshot"]).alias("shots"), F.count_if(m["has_ocr_text"]).alias("texts"), F.sum(m["ocr_confidence"]).alias("c"), F.count(m["ocr_confidence"]).alias("k"))
+    return kinds.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.sum("shots"), F.lit(0)).alias("screenshots"), F.coalesce(F.sum("texts"), F.lit(0)).alias("with_text"),
+        F.coalesce(F.try_divide(F.sum("c"), F.sum("k")), F.lit(0.0)).alias("avg_confidence"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("types"),
+    )
+
+
+def audio_statistics(chunks: DataFrame) -> DataFrame:
+    """One row (total, total_duration, total_duration_formatted, unique_speakers, speakers, languages, topics) of audio chunks."""
+    m = F.col("metadata")
+    some = chunks.agg(
+        F.count("*").alias("total"), F.coalesce(F.sum(m["duration"]), F.lit(0.0)).alias("total_duration"), F.array_sort(F.collect_set(m["speaker"])).alias("speakers"),
+        F.array_sort(F.collect_set(m["language"])).alias("languages"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce(m["topics"], F.array().cast("array<string>")))))).alias("topics"),
+    )
+    return some.select("total", "total_duration", time_of_day(F.col("total_duration")).alias("total_duration_formatted"), F.size("speakers").alias("unique_speakers"), "speakers", "languages", "topics")
+
+
+def mean_features(frames: DataFrame) -> DataFrame:
+    """(source, seq, features) of (source, seq, frame, coefficients): the mean over the frames of each coefficient."""
+    each = frames.select("source", "seq", F.posexplode("coefficients").alias("at", "value")).groupBy("source", "seq", "at").agg(F.avg("value").alias("mean"))
+    return each.groupBy("source", "seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "mean"))), lambda x: x.mean).alias("features"))
+
+
 def mean_confidence(words: DataFrame) -> DataFrame:
     """(image_id, attempt_no, confidence): mean of the word confidences above 0, 0 where there is none."""
     return words.groupBy("image_id", "attempt_no").agg(F.coalesce(F.avg(F.when(F.col("confidence") > 0, F.col("confidence"))), F.lit(0.0)).alias("confidence"))
@@ -165,11 +205,39 @@ def diarized(segments: DataFrame, known: int | None = None) -> DataFrame:
     return segments.select("source", "seq", "features").groupBy("source").applyInPandas(run, "source string, seq int, speaker string")
 
 
-def silhouettes(rows: DataFrame) -> DataFrame:
-    """(source, silhouette) of (source, label, features)."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("label")
-        return pd.DataFrame({"source": g.source.iloc[:1], "silhouette": [round(silhouette(np.array(g.features.to_list(), float), g.label.to_numpy()), 6)]})
-
-    return rows.select("source", "label", "features").groupBy("source").applyInPandas(run, "source string, silhouette double")
+def silhouettes(rows: DataFrame, block: int = 1024) -> DataFrame:
+    """(source, silhouette) of (source, label, features): mean Euclidean silhouettes; a row alone in its cluster, or in the only one, counts 0.
+
+    Rows are dealt out in blocks, and each pair of blocks meets in a task of its own that gives only sums by row and label.
+    """
+    numbered = rows.select(F.col("source").cast("string").alias("source"), "label", F.col("features").cast("array<double>").alias("features"), F.xxhash64("label", "features", F.monotonically_increasing_id()).alias("row"))
+    numbered = cut(numbered, "silhouette-rows")
+    blocks = numbered.groupBy("source").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))  # a row for each source
+    dealt = numbered.join(blocks, "source").withColumn("mine", F.pmod("row", F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left, right = dealt.withColumn("other", every), dealt.withColumnRenamed("mine", "other").withColumn("mine", every)
+
+    def sums(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = [[], [], [], [], []]
+        if a.num_rows and b.num_rows:
+            x, y = (np.array(t.to_pylist(), float) for t in (a["features"], b["features_"]))
+            names, at = np.unique(b["label_"].to_numpy(), return_inverse=True)
+            for i, (row, label) in enumerate(zip(a["row"].to_pylist(), a["label"].to_pylist())):
+                d = np.sqrt(((y - x[i]) ** 2).sum(1))
+                total, n = np.bincount(at, d, len(names)), np.bincount(at, minlength=len(names))
+                out[0] += [row] * len(names)
+                out[1] += [label] * len(names)
+                out[2] += names.tolist()
+                out[3] += total.tolist()
+                out[4] += n.tolist()
+        return pa.table({"source": pa.array([a["source"][0].as_py()] * len(out[0]) if a.num_rows else [], pa.string()), "row": pa.array(out[0], pa.int64()), "own": pa.array(out[1], pa.int64()), "label": pa.array(out[2], pa.int64()), "total": pa.array(out[3], pa.float64()), "n": pa.array(out[4], pa.int64())})
+
+    left = left.select("source", F.col("label").cast("long").alias("label"), "features", "row", "mine", "other")
+    right = right.select(*(F.col(c).cast("long" if c == "label" else t).alias(f"{c}_") for c, t in right.dtypes))
+    keys = ("source", "mine", "other")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*(f"{k}_" for k in keys))).applyInArrow(sums, "source string, row long, own long, label long, total double, n long")
+    means = found.groupBy("source", "row", "own", "label").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    mine = F.col("own") == F.col("label")
+    each = means.groupBy("source", "row").agg(F.max(F.when(mine & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))).alias("a"), F.min(F.when(~mine, F.col("total") / F.col("n"))).alias("b"))
+    s = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
+    return each.groupBy("source").agg(F.round(F.avg(s), 6).alias("silhouette"))

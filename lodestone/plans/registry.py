@@ -11,14 +11,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import context, documents, media, search
-from lodestone.sources import files
+from lodestone.operators import chunks, context, documents, media, search
+from lodestone.sources import files, sinks
+from lodestone.store import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-#: Keyword queries of the search examples.
-ASKED = [(0, "the quality of the idiot thanedble stand"), (1, "que les para tion mente"), (2, "password license rights reserved")]
+#: Queries of the searches are all rows whose id is divisible by this.
+EVERY = 50
 
 
 def query(sql: str | None = None):
@@ -35,10 +36,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def asked(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ASKED, "query_id int, query string")
-
-
 def pick(values: list, at: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
 
@@ -68,7 +65,24 @@ def sentence_split(spark, sf_dir):
     return rows.select("doc_id", F.size("s").alias("n_sentences"), F.when(F.size("s") > 0, total).alias("n_chars"), F.try_element_at("s", F.lit(1)).alias("first"))
 
 
-@query()
+_FOLD = f"""s as (select doc_id, list_transform({_SENTENCES}, lambda x: {{'t': x, 'n': length(x) // 4}}) as p from documents),
+f(doc_id, i, now, tokens, chunk, k) as (
+select doc_id, 0::bigint, []::struct(t varchar, n bigint)[], 0::bigint, null::varchar, 0::bigint from s
+union all
+select doc_id, i + 1, case when full_ then list_append(kept, x) else list_append(now, x) end, case when full_ then coalesce(list_sum(list_transform(kept, lambda y: y.n)), 0)::bigint else tokens end + x.n,
+case when full_ and len(now) > 0 then array_to_string(list_transform(now, lambda y: y.t), ' ') end, k + (full_ and len(now) > 0)::bigint
+from (select *, list_concat(list_concat(case when k3 then [now[-3]] else [] end, case when k2 then [now[-2]] else [] end), case when k1 then [now[-1]] else [] end) as kept
+from (select *, coalesce(case when k1 then now[-1].n else 0 end + case when k2 then now[-2].n else 0 end + now[-3].n <= 50, false) as k3
+from (select *, coalesce(case when k1 then now[-1].n else 0 end + now[-2].n <= 50, false) as k2
+from (select f.*, p[i + 1] as x, tokens + p[i + 1].n > 512 as full_, coalesce(now[-1].n <= 50, false) as k1 from f join s using (doc_id) where i < len(p))))))"""
+
+
+@query(
+    f"""with recursive {_FOLD},
+done as (select doc_id, k - 1 as chunk_index, chunk as content from f where chunk is not null
+union all select f.doc_id, k, array_to_string(list_transform(now, lambda y: y.t), ' ') from f join s using (doc_id) where i = len(p) and len(now) > 0)
+select doc_id, chunk_index::int as chunk_index, (count(*) over (partition by doc_id))::int as total_chunks, content, (length(content) // 4)::int as token_count from done"""
+)
 def sentence_chunks_fold(spark, sf_dir):
     return documents.chunk_rows(table(spark, sf_dir, "documents"))
 
@@ -137,7 +151,7 @@ def caption_parse(spark, sf_dir):
 
 # --- search -------------------------------------------------------------------------------------------------------------------
 
-_Q = "q as (select * from (values " + ", ".join(f"({i}, '{t}')" for i, t in ASKED) + ") as v(query_id, query))"
+_Q = f"q as (select doc_id as query_id, text as query from documents where doc_id % {EVERY} = 0)"
 _BM25 = f"""tok as (select doc_id, text, {_TOKENS.format("text")} as t from documents),
 size_ as (select count(*)::double as n, avg(len(t)) as avgdl from tok),
 df as (select term, count(*)::double as df from (select unnest(list_distinct(t)) as term from tok) group by term),
@@ -150,8 +164,11 @@ raw as (select query_id, doc_id, round(sum(qtf * idf * tf * 2.5::double / (tf +
 ranked as (select *, row_number() over (partition by query_id order by raw desc, doc_id desc) as rank from raw),
 bm as (select query_id, rank, doc_id, round(raw / case when max(raw) over (partition by query_id) > 0 then max(raw) over (partition by query_id) else 1 end, 6) as score from ranked where rank <= 25),
 bm25 as (select * from bm where score > 0)"""
-_SEM = """sem0 as (select b.vec_id::int as query_id, a.vec_id as doc_id, round(list_inner_product(a.embedding::double[], b.embedding::double[]), 6) as score from embeddings a, embeddings b where b.vec_id < 3),
+_SEM = f"""sem0 as (select b.vec_id as query_id, a.vec_id as doc_id, round(list_inner_product(a.embedding::double[], b.embedding::double[]), 6) as score from embeddings a, embeddings b where b.vec_id % {EVERY} = 0),
 sem as (select * from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from sem0) where rank <= 25)"""
+_RERANKED = f"""p as (select c.query_id, c.doc_id, c.rank as old_rank, list_distinct({_TOKENS.format("coalesce(q.query, '')")}) as a, {_TOKENS.format("substr(d.text, 1, 1000)")} as b from fused c join documents d on d.doc_id = c.doc_id join q on q.query_id = c.query_id where c.rank <= 15),
+s as (select query_id, doc_id, old_rank, round(len(list_intersect(a, b)) / greatest(len(a), 1)::double, 6) as score from p),
+r as (select *, row_number() over (partition by query_id order by score desc, old_rank) as rank from s)"""
 
 
 def _fused(lists: list[str], name: str = "rrf") -> str:
@@ -161,16 +178,38 @@ def _fused(lists: list[str], name: str = "rrf") -> str:
 
 
 def vector_queries(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").filter("vec_id < 3").select(F.col("vec_id").cast("int").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+
+
+def text_queries(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").filter(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def vectors(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
 
 
+_INDEXES: dict[tuple[str, str], search.KeywordIndex] = {}
+
+
+def keyword_index(spark, sf_dir) -> search.KeywordIndex:
+    """The keyword index of the documents, built once in a session, as an engine that serves queries has it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = search.build_keyword_index(table(spark, sf_dir, "documents"))
+    return _INDEXES[key]
+
+
+@query(f"with {_Q},\n{_BM25}\nselect term, count(*) as df, sum(tf)::bigint as occurrences from (select doc_id, term, count(*) as tf from (select doc_id, unnest(t) as term from tok) group by all) group by term")
+def bm25_index_build(spark, sf_dir):
+    """Builds the index anew each time it is called: what the searches below do once."""
+    index = search.build_keyword_index(table(spark, sf_dir, "documents"))
+    return index.postings(spark).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
+
+
 @query(f"with {_Q},\n{_BM25}\nselect query_id, rank::int as rank, doc_id, score from bm25")
 def bm25_topk(spark, sf_dir):
-    return search.bm25(table(spark, sf_dir, "documents"), asked(spark))
+    return search.bm25(keyword_index(spark, sf_dir), text_queries(spark, sf_dir))
 
 
 @query(f"with {_SEM}\nselect query_id, rank::int as rank, doc_id, score from sem")
@@ -183,10 +222,21 @@ def rrf_fusion(spark, sf_dir):
     return search.fuse([semantic_topk(spark, sf_dir), bm25_topk(spark, sf_dir)])
 
 
-@query(f"with {_Q},\n{_BM25},\n{_SEM},\n{_fused(['sem', 'bm25'])}\nselect query_id, rank::int as rank, doc_id, score from rrf where rank <= 15")
+_ASKED_BOTH = "q as (select coalesce(d.doc_id, v.vec_id) as query_id, d.text as query from (select * from documents where doc_id % 50 = 0) d full join (select * from embeddings where vec_id % 50 = 0) v on d.doc_id = v.vec_id)"
+
+
+def _both(spark, sf_dir) -> DataFrame:
+    return text_queries(spark, sf_dir).join(vector_queries(spark, sf_dir), "query_id", "full")
+
+
+@query(f"with {_ASKED_BOTH},\n{_BM25},\n{_SEM},\n{_fused(['sem', 'bm25'], 'fused')},\n{_RERANKED}\nselect query_id, rank::int as rank, doc_id, score from r where rank <= 15")
 def hybrid_search(spark, sf_dir):
-    queries = asked(spark).join(vector_queries(spark, sf_dir), "query_id")
-    return search.hybrid(table(spark, sf_dir, "documents"), vectors(spark, sf_dir), queries)
+    return search.hybrid(table(spark, sf_dir, "documents"), vectors(spark, sf_dir), _both(spark, sf_dir), scorer=search.overlap, index=keyword_index(spark, sf_dir))
+
+
+@query(f"with {_ASKED_BOTH},\n{_BM25},\n{_SEM},\n{_fused(['sem', 'bm25'])}\nselect query_id, rank::int as rank, doc_id, score from rrf where rank <= 15")
+def hybrid_without_reranker(spark, sf_dir):
+    return search.hybrid(table(spark, sf_dir, "documents"), vectors(spark, sf_dir), _both(spark, sf_dir), index=keyword_index(spark, sf_dir))
 
 
 @query(
@@ -199,60 +249,9 @@ def multimodal_fusion(spark, sf_dir):
     return search.fuse([semantic_topk(spark, sf_dir), search.semantic(vectors(spark, sf_dir), away, 10), bm25_topk(spark, sf_dir)], 10)
 
 
-@query(
-    f"""with {_Q},\n{_BM25},
-p as (select query_id, doc_id, rank as old_rank, list_distinct({_TOKENS.format("query")}) as a, {_TOKENS.format("substr(text, 1, 1000)")} as b from bm25 join documents using (doc_id) join q using (query_id) where rank <= 15),
-s as (select query_id, doc_id, old_rank, round(len(list_intersect(a, b)) / greatest(len(a), 1)::double, 6) as score from p),
-r as (select *, row_number() over (partition by query_id order by score desc, old_rank) as rank from s)
-select query_id, rank::int as rank, doc_id, score from r where rank <= 10"""
-)
+@query(f"with {_Q},\n{_BM25},\nfused as (select * from bm25),\n{_RERANKED}\nselect query_id, rank::int as rank, doc_id, score from r where rank <= 10")
 def rerank_lexical(spark, sf_dir):
-    return search.rerank(bm25_topk(spark, sf_dir), table(spark, sf_dir, "documents"), asked(spark))
-
-
-# The queries above answer the three of their SQL. Those below answer every row whose id is divisible by EVERY; SQL would be too slow.
-
-EVERY = 50
-
-
-def every_vector(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
-
-
-def every_text(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").filter(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
-
-
-@query()
-def bm25_topk_all(spark, sf_dir):
-    return search.bm25(table(spark, sf_dir, "documents"), every_text(spark, sf_dir))
-
-
-@query()
-def semantic_topk_all(spark, sf_dir):
-    return search.semantic(vectors(spark, sf_dir), every_vector(spark, sf_dir))
-
-
-@query()
-def rrf_fusion_all(spark, sf_dir):
-    return search.fuse([semantic_topk_all(spark, sf_dir), bm25_topk_all(spark, sf_dir)])
-
-
-@query()
-def hybrid_search_all(spark, sf_dir):
-    # ids of one table only stay: a join of both would drop them
-    return search.fuse([semantic_topk_all(spark, sf_dir), bm25_topk_all(spark, sf_dir)], 15)
-
-
-@query()
-def multimodal_fusion_all(spark, sf_dir):
-    away = every_vector(spark, sf_dir).withColumn("query_embedding", F.transform("query_embedding", lambda x: -x))
-    return search.fuse([semantic_topk_all(spark, sf_dir), search.semantic(vectors(spark, sf_dir), away, 10), bm25_topk_all(spark, sf_dir)], 10)
-
-
-@query()
-def rerank_lexical_all(spark, sf_dir):
-    return search.rerank(bm25_topk_all(spark, sf_dir), table(spark, sf_dir, "documents"), every_text(spark, sf_dir))
+    return search.rerank(bm25_topk(spark, sf_dir), table(spark, sf_dir, "documents"), text_queries(spark, sf_dir))
 
 
 # --- images and audio ---------------------------------------------------------------------------------------------------------
@@ -465,7 +464,7 @@ def index_record(spark, sf_dir):
     return rows.select(F.col("doc_id").cast("string").alias("chunk_id"), T.preview(F.col("text"), 200).alias("content_preview"), "source", F.coalesce(F.lit(None).cast("string"), F.lit("N/A")).alias("page_number"), T.token_count(F.col("text")).alias("token_count"))
 
 
-_RESULTS = """res0 as (select (doc_id % 20)::int as query_id, (doc_id // 20 + 1)::int as rank, (1000 - (doc_id // 20) % 1000) / 1000.0::double as score, source, text as content, ['text', 'image', 'table', 'audio', null][doc_id // 20 % 5 + 1] as nested, ['text', 'table', 'image'][doc_id // 7 % 3 + 1] as kind from documents),
+_RESULTS = """res0 as (select doc_id, (doc_id % 20)::int as query_id, (doc_id // 20 + 1)::int as rank, (2001 - (doc_id // 20) % 1000 * 2) / 2000.0::double as score, source, text as content, ['text', 'image', 'table', 'audio', null][doc_id // 20 % 5 + 1] as nested, ['text', 'table', 'image'][doc_id // 7 % 3 + 1] as kind from documents),
 res as (select *, case when coalesce(nested, 'text') = 'audio' then 'audio' when nested = 'image' or kind = 'image' then 'images' when nested = 'table' or kind = 'table' then 'tables' else 'text' end as bucket from res0)"""
 
 
@@ -473,7 +472,7 @@ def _results(spark, sf_dir) -> DataFrame:
     nth = F.floor(F.col("doc_id") / 20)
     nested = F.element_at(F.array(F.lit("text"), F.lit("image"), F.lit("table"), F.lit("audio"), F.lit(None).cast("string")), (nth % 5 + 1).cast("int"))
     rows = table(spark, sf_dir, "documents").select(
-        (F.col("doc_id") % 20).cast("int").alias("query_id"), (nth + 1).cast("int").alias("rank"), ((F.lit(1000) - nth % 1000) / F.lit(1000.0)).alias("score"), "source", F.col("text").alias("content"),
+        "doc_id", (F.col("doc_id") % 20).cast("int").alias("query_id"), (nth + 1).cast("int").alias("rank"), ((F.lit(2001) - nth % 1000 * 2) / F.lit(2000.0)).alias("score"), "source", F.col("text").alias("content"),
         nested.alias("nested"), pick(["text", "table", "image"], F.floor(F.col("doc_id") / 7) % 3).alias("kind"),
     )
     return rows.withColumn("bucket", context.bucket(F.lit(None).cast("string"), F.col("nested"), F.col("kind")))
@@ -484,23 +483,322 @@ def modality_route(spark, sf_dir):
     return _results(spark, sf_dir).select("query_id", "rank", "score", "source", "bucket")
 
 
+_ITEMS = f"""n as (select *, row_number() over (partition by query_id, bucket order by rank) as item_no, 'Table of ' || source as title, 'Speaker ' || (doc_id % 3) as speaker, '[' || (doc_id % 60) || 's]' as time from res)"""
+_HEAD_SQL = """'[' || case bucket when 'text' then 'Text' when 'tables' then 'Table' when 'images' then 'Image' else 'Audio' end || ' ' || item_no || '] ' || case bucket when 'tables' then title || ' ' when 'audio' then speaker || ' at ' || time || ' ' else '' end || '({0}: ' || format('{{:.3f}}', score) || ')' || chr(10)"""
+
+
+def _told(spark, sf_dir) -> DataFrame:
+    more = {"title": F.concat(F.lit("Table of "), "source"), "speaker": F.concat(F.lit("Speaker "), (F.col("doc_id") % 3).cast("string")), "time": F.concat(F.lit("["), (F.col("doc_id") % 60).cast("string"), F.lit("s]"))}
+    path = F.when((F.col("bucket") == "images") & (F.col("doc_id") % 2 == 0), F.concat(F.lit("p"), F.col("doc_id").cast("string"), F.lit(".png")))
+    return _results(spark, sf_dir).withColumns(more).withColumn("image_path", path)
+
+
 @query(
-    f"""with {_RESULTS}, n as (select *, row_number() over (partition by query_id, bucket order by rank) as item_no from res)
-select query_id, bucket, item_no::int as item_no, '[' || bucket || ' ' || item_no || '] (Relevance: ' || format('{{:.3f}}', score) || ')' || chr(10) || 'Source: ' || source || chr(10) || substr(content, 1, case bucket when 'text' then 500 when 'tables' then 800 when 'images' then 300 else 400 end) as line
+    f"""with {_RESULTS}, {_ITEMS}
+select query_id, bucket, item_no::int as item_no, {_HEAD_SQL.format("Relevance")} || 'Source: ' || source || chr(10) || substr(content, 1, case bucket when 'text' then 500 when 'tables' then 800 when 'images' then 300 else 400 end) as line
 from n where item_no <= case bucket when 'text' then 5 else 3 end"""
 )
 def prompt_context(spark, sf_dir):
-    return context.prompt_items(_results(spark, sf_dir))
+    return context.prompt_items(_told(spark, sf_dir))
+
+
+_SECTION = """sec as (select query_id, case bucket when 'text' then 1 when 'tables' then 2 when 'images' then 3 else 4 end as o, any_value(bucket) as bucket, string_agg(line, chr(10) order by item_no) as lines from lines_ group by query_id, bucket)"""
+_PATHS = "paths as (select query_id, list('p' || doc_id || '.png' order by rank) filter (bucket = 'images' and doc_id % 2 = 0) as image_paths from res group by query_id)"
 
 
-@query()
+@query(
+    f"""with {_RESULTS}, {_ITEMS}, {_PATHS}, lines_ as (select query_id, bucket, item_no, {_HEAD_SQL.format("Score")} || content || chr(10) as line from n), {_SECTION}
+select query_id, string_agg(case bucket when 'text' then '=== TEXT CONTENT ===' || chr(10) when 'tables' then chr(10) || '=== TABLE CONTENT ===' || chr(10) when 'images' then chr(10) || '=== IMAGES ===' || chr(10) else chr(10) || '=== AUDIO TRANSCRIPTS ===' || chr(10) end || chr(10) || lines, chr(10) order by o) as context,
+coalesce(array_to_string(any_value(image_paths), '|'), '') as image_paths from sec join paths using (query_id) group by query_id"""
+)
+def uncapped_context(spark, sf_dir):
+    return context.uncapped_context(_told(spark, sf_dir)).withColumn("image_paths", F.array_join("image_paths", "|"))
+
+
+@query(
+    f"""with {_RESULTS}, {_ITEMS}, {_PATHS}, lines_ as (select query_id, bucket, item_no, chr(10) || {_HEAD_SQL.format("Relevance")} || 'Source: ' || source || chr(10) || substr(content, 1, case bucket when 'text' then 500 when 'tables' then 800 when 'images' then 300 else 400 end) as line
+from n where item_no <= case bucket when 'text' then 5 else 3 end), {_SECTION},
+body as (select query_id, string_agg(case bucket when 'text' then chr(10) || '=== TEXT CONTEXT ===' when 'tables' then chr(10) || chr(10) || '=== TABLE DATA ===' when 'images' then chr(10) || chr(10) || '=== IMAGES ===' || chr(10) || len(coalesce(image_paths, [])) || ' relevant images are being analyzed.'
+else chr(10) || chr(10) || '=== AUDIO TRANSCRIPTS ===' end || chr(10) || lines, chr(10) order by o) as body, coalesce(array_to_string(any_value(image_paths), '|'), '') as image_paths from sec join paths using (query_id) group by query_id)
+select query_id, 'You are an assistant who answers questions about documents, tables, images and recordings.' || chr(10) || chr(10) || repeat('=', 70) || chr(10) || body || chr(10) || chr(10) || chr(10) || repeat('=', 70) || chr(10) || chr(10) || '=== QUESTION ===' || chr(10)
+|| 'What does part ' || query_id || ' say?' || chr(10) || chr(10) || chr(10) || '=== HOW TO ANSWER ===' || chr(10) || {" || chr(10) || ".join("'- " + r + "'" for r in context.RULES)} || chr(10) || chr(10) || '=== DETAILED ANSWER ===' as prompt, image_paths from body"""
+)
 def answer_prompts(spark, sf_dir):
     asked_ = spark.range(20).select(F.col("id").cast("int").alias("query_id"), F.concat(F.lit("What does part "), F.col("id").cast("string"), F.lit(" say?")).alias("query"))
-    return context.prompts(_results(spark, sf_dir), asked_)
+    found = _told(spark, sf_dir)
+    asked_ = asked_.join(found.select("query_id").distinct(), "query_id", "left_semi")
+    return context.prompts(found, asked_).withColumn("image_paths", F.array_join("image_paths", "|"))
+
+
+@query(
+    f"""with {_RESULTS}
+select query_id, count(*) as num_results, count(*) filter (bucket = 'text') as text_chunks, count(*) filter (bucket = 'tables') as tables, count(*) filter (bucket = 'images') as images, count(*) filter (bucket = 'images' and doc_id % 2 = 0) as image_files,
+count(*) filter (bucket = 'audio') as audio, array_to_string(list_sort(list_distinct(list(source) filter (rank <= 5))), '|') as top_sources, string_agg(format('{{:.4f}}', score), '|' order by rank) filter (rank <= 5) as top_scores from res group by query_id"""
+)
+def search_facts(spark, sf_dir):
+    found = context.search_facts(_told(spark, sf_dir))
+    return found.withColumns({"top_sources": F.array_join("top_sources", "|"), "top_scores": F.array_join("top_scores", "|")})
 
 
-@query()
+# --- files --------------------------------------------------------------------------------------------------------------------
+
+_FILES = ["a/One.PDF", "b/two.docx", "b/old.doc", "extracted_data/three.png", "c/docx_extracted/x.jpg", "c/four.JPG", "d/five.mp3", "d/six.opus", "d/seven.mp4", "d/eight.txt", "nine", "extracted_data/ten.pdf"]
+
+
+@query("select * from (values ('a/One.PDF', 'pdf'), ('b/two.docx', 'docx'), ('b/old.doc', 'docx'), ('c/four.JPG', 'image'), ('d/five.mp3', 'audio'), ('d/six.opus', 'audio'), ('extracted_data/ten.pdf', 'pdf')) as v(name, file_kind)")
 def discover_files(spark, sf_dir):
-    names = ["a/One.PDF", "b/two.docx", "extracted_data/three.png", "c/four.JPG", "d/five.mp3", "six.txt"]
-    rows = spark.createDataFrame([(n,) for n in names], "path string")
-    return rows.select("path", files.file_kind(F.col("path")).alias("file_kind")).filter("file_kind is not null")
+    """Lists a folder of files of one byte made for the purpose in shared storage."""
+    folder = new_path(spark, "files")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for name in _FILES:
+        out = fs.create(path(f"{folder}/{name}"))
+        out.write(0)
+        out.close()
+    label = folder.rsplit("/", 1)[-1]
+    return files.find_files(spark, folder).select(F.regexp_extract("path", f"{label}/(.*)$", 1).alias("name"), "file_kind")
+
+
+_NAMES = ["figure-{n}.jpg", "figure-{n}-2.png", "page-{n}.png", "figure-{n}7.jpeg", "other.jpg", "z.png", "notes.txt"]
+
+
+@query(
+    f"""with c as (select p_partkey // 5 as source, (p_partkey // 5 % 4)::int as number, 'd/' || replace({_list(_NAMES)}[(p_partkey * 3 + p_partkey // 5) % 7 + 1], '{{n}}', (p_partkey // 5 % 4)::varchar) as path from part),
+d as (select distinct * from c), n as (select *, string_split(path, '/')[-1] as name from d),
+f as (select *, case when name = 'figure-' || number || '.jpg' then 0 when name like 'figure-' || number || '%.jpg' then 0 when name like 'figure-' || number || '%.png' then 1 when name like 'figure-' || number || '%.jpeg' then 2 when name like '%-' || number || '.jpg' then 5 when name like '%-' || number || '.png' then 6 else 9 end as fits,
+case when regexp_matches(name, '[.](jpg|png|jpeg)$') then sum(regexp_matches(name, '[.](jpg|png|jpeg)$')::int) over (partition by source, number order by name, path rows unbounded preceding) - 1 end as nth from n)
+select source, number, path from f where fits < 9 or nth = number qualify row_number() over (partition by source, number order by fits, path) = 1"""
+)
+def image_files(spark, sf_dir):
+    k = F.col("p_partkey")
+    at = F.floor(k / 5)
+    name = F.replace(pick(_NAMES, (k * 3 + at) % 7), F.lit("{n}"), (at % 4).cast("string"))
+    rows = table(spark, sf_dir, "part").select(at.alias("source"), (at % 4).cast("int").alias("number"), F.concat(F.lit("d/"), name).alias("path")).distinct()
+    return files.image_for(rows)
+
+
+# --- elements, images and recordings as chunks --------------------------------------------------------------------------------
+
+
+@query(f"with {_ELEMENTS}\nselect source, element_idx, (row_number() over (partition by source order by element_idx) - 1)::int as original_index, length(text)::int as n_chars from el where element_type in ('NarrativeText', 'Text', 'Title', 'ListItem') and length(text) >= 50")
+def text_elements(spark, sf_dir):
+    return chunks.long_texts(_elements(spark, sf_dir)).select("source", "element_idx", "original_index", F.length("text").alias("n_chars"))
+
+
+_PARAGRAPHS = f"""el0 as (select doc_id as source, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents),
+el as (select source, pos::int as element_idx, case when pos % 4 = 3 then 'Table' else 'Paragraph' end as element_type, case when pos % 11 = 0 then 'Heading 1' when pos % 13 = 0 then 'My Heading' end as style, {_STRIP.format(_CAPTION_LINE)} as text from el0)"""
+
+
+def _paragraphs(spark, sf_dir) -> DataFrame:
+    at = F.col("element_idx")
+    return _elements(spark, sf_dir).withColumns({"element_type": F.when(at % 4 == 3, "Table").otherwise("Paragraph"), "style": F.when(at % 11 == 0, "Heading 1").when(at % 13 == 0, "My Heading")})
+
+
+@query(f"with {_PARAGRAPHS}\nselect source, element_idx, (row_number() over (partition by source order by element_idx) - 1)::int as original_index, length(text)::int as n_chars from el where element_type = 'Paragraph' and length(text) >= 50")
+def paragraph_elements(spark, sf_dir):
+    return chunks.long_paragraphs(_paragraphs(spark, sf_dir)).select("source", "element_idx", "original_index", F.length("text").alias("n_chars"))
+
+
+@query(
+    f"""with {_PARAGRAPHS},
+near as (select t.source, t.element_idx, p.element_idx as spot, p.text, length(p.text) < 100 and ((upper(p.text) = p.text and lower(p.text) <> p.text) or coalesce(p.style like 'Heading%', false) or regexp_matches(p.text, '(?i)^(Table|Figure|Chart)\\s*\\d*[:.]\\s*')) as head
+from el t join el p on p.source = t.source and p.element_idx between t.element_idx - 5 and t.element_idx - 1 and p.element_type = 'Paragraph' and length(p.text) >= 3 where t.element_type = 'Table'),
+h as (select source, element_idx, min(spot) filter (head) as head_at from near group by all),
+rest as (select n.source, n.element_idx, list(text order by spot) as r from near n join h using (source, element_idx) where head_at is null or spot <> head_at group by all)
+select t.source, t.element_idx, coalesce(n.text, '') as title, coalesce(array_to_string(r[-3:], ' '), '') as description
+from el t left join h using (source, element_idx) left join near n on n.source = t.source and n.element_idx = t.element_idx and n.spot = h.head_at left join rest r on r.source = t.source and r.element_idx = t.element_idx where t.element_type = 'Table'"""
+)
+def heading_context(spark, sf_dir):
+    rows = documents.heading_context(_paragraphs(spark, sf_dir)).filter("element_type = 'Table'")
+    return rows.select("source", "element_idx", "context.title", "context.description")
+
+
+@query(
+    f"""with {_ELEMENTS},
+near as (select t.source, t.element_idx, p.element_idx as spot, p.text, p.text like 'Table %: Totals' as cap from el t join el p on p.source = t.source and (p.element_idx between t.element_idx - 10 and t.element_idx - 1 or p.element_idx between t.element_idx + 1 and t.element_idx + 9)
+and p.element_type in ('NarrativeText', 'Text', 'Title', 'FigureCaption') and length(p.text) >= 3 where t.element_type = 'Image'),
+h as (select source, element_idx, min(spot) filter (cap) as head_at from near group by all),
+rest as (select n.source, n.element_idx, list(text order by spot) as r from near n join h using (source, element_idx) where head_at is null or spot <> head_at group by all)
+select t.source, t.element_idx, coalesce(n.text, '') as title, coalesce(n.text, '') as caption, regexp_extract(n.text, '\\d+', 0) as number, coalesce(array_to_string(r[-5:], ' '), '') as description
+from el t left join h using (source, element_idx) left join near n on n.source = t.source and n.element_idx = t.element_idx and n.spot = h.head_at left join rest r on r.source = t.source and r.element_idx = t.element_idx where t.element_type = 'Image'"""
+)
+def image_context(spark, sf_dir):
+    rows = documents.image_context(_elements(spark, sf_dir)).filter("element_type = 'Image'")
+    return rows.select("source", "element_idx", "context.title", "context.caption", "context.number", "context.description")
+
+
+_PLACED = f"""{_PARAGRAPHS}, size_ as (select source, count(*) as n from el group by source), img as (select source, i, floor(i / 3::double * n)::int as place from size_, (values (0), (1), (2)) as v(i)),
+b as (select img.source, i, list(text order by element_idx) as x from img join el on el.source = img.source and element_idx between place - 5 and place - 1 and element_type = 'Paragraph' and length(text) >= 20 group by all),
+a as (select img.source, i, list(text order by element_idx) as x from img join el on el.source = img.source and element_idx between place + 1 and place + 5 and element_type = 'Paragraph' and length(text) >= 20 group by all),
+placed as (select img.source, i, place, coalesce(array_to_string(b.x[-3:], ' '), '') as tb, coalesce(array_to_string(a.x[1:3], ' '), '') as ta from img left join b using (source, i) left join a using (source, i))"""
+
+
+def _placed(spark, sf_dir) -> DataFrame:
+    images = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("image_no"), F.lit(3).alias("n_images"))
+    return documents.placed_images(images, _paragraphs(spark, sf_dir))
+
+
+@query(f"with {_PLACED}\nselect source, i as image_no, place as element_idx, tb as text_before, ta as text_after from placed")
+def placed_images(spark, sf_dir):
+    return _placed(spark, sf_dir).select("source", "image_no", "element_idx", "text_before", "text_after")
+
+
+@query(
+    f"""with {_PLACED}\nselect source, i as image_no, case when tb <> '' then '**Context Before Image:**' || chr(10) || tb || chr(10) || chr(10) else '' end || '**Image File:** f' || i || '.png'
+|| case when i > 0 then chr(10) || chr(10) || chr(10) || '**OCR Extracted Text from Image:**' || chr(10) || 'seen in image ' || i else '' end || case when ta <> '' then chr(10) || chr(10) || chr(10) || '**Context After Image:**' || chr(10) || ta else '' end as content from placed"""
+)
+def docx_image_content(spark, sf_dir):
+    no = F.col("image_no").cast("string")
+    read = documents.read_in_image(F.when(F.col("image_no") > 0, F.concat(F.lit("  seen in image "), no)).otherwise(F.lit("too short")))
+    return _placed(spark, sf_dir).select("source", "image_no", documents.image_content(None, F.col("text_before"), F.concat(F.lit("f"), no, F.lit(".png")), read, F.col("text_after")).alias("content"))
+
+
+_PIPES = "'name | price | ' || chr(10) || '- | -' || chr(10) || p_name || ' | $' || p_size || chr(10) || ' | x' || p_size || ' | ' || chr(10) || '' || chr(10) || 'last | 1 | more'"
+
+
+@query(
+    f"""with t as (select p_partkey, p_name, p_size from part)
+select p_partkey, case when p_size % 2 = 0 then '**Context Before Table (5 sentences):**' || chr(10) || 'before it' || chr(10) || chr(10) else '' end || case when p_size % 3 = 0 then '# Table 1' || chr(10) || chr(10) else '' end
+|| 'This table contains 3 entries with 2 columns: name, price.' || chr(10) || chr(10) || chr(10) || 'Detailed Data:' || chr(10) || '1. name: ' || p_name || ', price: $' || p_size || chr(10) || '2. name: x' || p_size || chr(10) || '3. name: last, price: 1' || chr(10)
+|| chr(10) || '[Original Table Format]' || chr(10) || 'name | price' || chr(10) || repeat('-', 30) || chr(10) || p_name || ' | $' || p_size || chr(10) || 'x' || p_size || chr(10) || 'last | 1 | more'
+|| case when p_size % 2 = 1 then chr(10) || chr(10) || '**Context After Table (5 sentences):**' || chr(10) || 'after it' else '' end as content from t"""
+)
+def pipe_tables(spark, sf_dir):
+    size = F.col("p_size").cast("string")
+    text = F.concat(F.lit("name | price | \n- | -\n"), "p_name", F.lit(" | $"), size, F.lit("\n | x"), size, F.lit(" | \n\nlast | 1 | more"))
+    told = documents.pipe_table_text(text, F.when(F.col("p_size") % 3 == 0, "Table 1").otherwise(""), F.lit(""))
+    around = lambda rest, said: F.when(F.col("p_size") % 2 == rest, said).otherwise("")
+    return table(spark, sf_dir, "part").select("p_partkey", documents.table_content(around(0, "before it"), told, around(1, "after it")).alias("content"))
+
+
+_IMG_KEYS = "list_transform(list_filter(regexp_extract_all(low, '[a-z]{4,}', 0), lambda x: not list_contains(" + _list(T.STOP_IMAGE) + ", x)), lambda x: x)"
+
+
+def _image_rows(spark, sf_dir) -> DataFrame:
+    k = F.col("p_partkey")
+    return _images(spark, sf_dir).withColumns({
+        "path": F.concat(F.lit("dir/img"), k.cast("string"), F.lit(".png")), "filename": F.concat(F.lit("img"), k.cast("string"), F.lit(".png")), "format": F.lit("PNG"), "file_size_mb": (k % 8) / F.lit(8.0),
+        "ocr_confidence": (k % 100).cast("double"), "has_text": k % 100 > 50, "figure_number": F.when(k % 3 == 0, k.cast("string")), "figure_title": F.when(k % 6 == 0, F.concat(F.lit("Figure "), k.cast("string"))),
+        "user_description": F.when(k % 5 == 0, "as seen").otherwise(""), "timestamp": F.when(k % 7 == 0, "noon"),
+    })
+
+
+_IMAGE_SQL = f"""{_SHOTS},
+kind as (select *, case when is_screenshot then 'screenshot' when word_count > 50 then 'document' when word_count > 10 and {_hits_sql(["chart", "graph", "figure", "diagram"])} > 0 then 'diagram' when word_count > 10 then 'mixed' else 'photo' end as primary_type from shot),
+sub as (select *, case primary_type when 'screenshot' then case when {_hits_sql(["email", "inbox", "@"])} > 0 then 'email' when {_hits_sql(["chat", "message"])} > 0 then 'chat' when {_hits_sql(["chrome", "browser", "http"])} > 0 then 'browser' else 'application' end
+when 'document' then case when word_count > 200 then 'scan' else 'snippet' end when 'diagram' then 'labeled' when 'mixed' then 'text_visual' else 'visual_only' end as sub_type from kind),
+said as (select *, p_partkey % 100 as conf, case primary_type when 'screenshot' then upper(sub_type[1]) || sub_type[2:] || ' screenshot' || {_FIRST_APP} when 'document' then 'Document ' || sub_type || ' with ' || word_count || ' words' when 'diagram' then 'Diagram or chart with labels' when 'photo' then 'Photo or visual image' else 'Mixed content' end as descr,
+{_IMG_KEYS} as keys, regexp_extract_all(ocr_text, '{media.CLOCK}', 0) as clocks, list_filter([{", ".join(f"case when contains(low, '{a}') then '{a.title()}' end" for a in media.APPLICATIONS)}], lambda x: x is not null) as appnames from sub)"""
+
+
+@query(
+    f"""with {_IMAGE_SQL}
+select p_partkey, '# ' || case when p_partkey % 6 = 0 then 'Figure ' || p_partkey when p_partkey % 3 = 0 then 'Image ' || p_partkey else descr end || chr(10) || chr(10) || case when p_partkey % 5 = 0 then '**Description:** as seen' || chr(10) || chr(10) else '' end
+|| '**File:** img' || p_partkey || '.png' || chr(10) || '**Size:** ' || width || 'x' || height || ' pixels' || chr(10) || '**Type:** ' || primary_type || '/' || sub_type
+|| case when p_partkey % 7 = 0 then chr(10) || '**Timestamp:** noon' when len(clocks) > 0 then chr(10) || '**Detected Time:** ' || clocks[1] else '' end
+|| case when is_screenshot and len(appnames) > 0 then chr(10) || '**Application:** ' || array_to_string(appnames, ', ') else '' end
+|| chr(10) || chr(10) || '**' || case when conf > 50 then 'Extracted' else 'Partial' end || ' Text (' || conf || '% confidence):**' || chr(10) || ocr_text
+|| case when len(keys) > 0 then chr(10) || chr(10) || '**Keywords:** ' || array_to_string(keys, ', ') else '' end as content,
+array_to_string(list_filter([case when p_partkey % 6 = 0 then 'Figure ' || p_partkey end, case when p_partkey % 5 = 0 then 'as seen' end, nullif(ocr_text, ''), descr, nullif(array_to_string(keys, ' '), '')], lambda x: x is not null), ' ') as searchable_text,
+array_to_string(list_filter([case when p_partkey % 6 = 0 then 'Figure ' || p_partkey end, case when p_partkey % 3 = 0 then 'image ' || p_partkey end, case when p_partkey % 3 = 0 then 'Image ' || p_partkey end, 'img' || p_partkey || '.png', descr], lambda x: x is not null), '|') as reference_names from said"""
+)
+def image_chunks(spark, sf_dir):
+    made = chunks.image_chunks(_image_rows(spark, sf_dir))
+    return made.select(F.regexp_extract("metadata.filename", r"(\d+)", 1).cast("long").alias("p_partkey"), "content", "metadata.searchable_text", F.array_join("metadata.reference_names", "|").alias("reference_names"))
+
+
+@query(
+    f"""with {_IMAGE_SQL}, t as (select primary_type || '/' || sub_type as kind, count(*) as n from said group by all)
+select (select count(*) from said) as total, (select count(*) filter (is_screenshot) from said) as screenshots, (select count(*) filter (conf > 50) from said) as with_text, (select round(avg(conf::double), 6) from said) as avg_confidence, string_agg(kind || '=' || n, '|' order by kind) as types from t"""
+)
+def image_stats(spark, sf_dir):
+    found = media.image_statistics(chunks.image_chunks(_image_rows(spark, sf_dir)))
+    types = F.array_join(F.transform(F.map_entries("types"), lambda e: F.concat(e.key, F.lit("="), e.value.cast("string"))), "|")
+    return found.select("total", "screenshots", "with_text", F.round("avg_confidence", 6).alias("avg_confidence"), types.alias("types"))
+
+
+@query(
+    "select user_id as image_id, event_type as attempt, coalesce(round(avg(value) filter (value > 0), 6), 0) as confidence from events group by all"
+)
+def ocr_mean_confidence(spark, sf_dir):
+    words = table(spark, sf_dir, "events").select(F.col("user_id").alias("image_id"), F.col("event_type").alias("attempt_no"), F.col("value").alias("confidence"))
+    return media.mean_confidence(words).select("image_id", F.col("attempt_no").alias("attempt"), F.round("confidence", 6).alias("confidence"))
+
+
+@query("select label as source, vec_id % 5 as seq, place as at_, round(avg(v), 6) as mean from (select label, vec_id, unnest(embedding::double[]) as v, generate_subscripts(embedding, 1) - 1 as place from embeddings) group by all")
+def frame_means(spark, sf_dir):
+    frames = table(spark, sf_dir, "embeddings").select(F.col("label").alias("source"), (F.col("vec_id") % 5).alias("seq"), F.col("vec_id").alias("frame"), F.col("embedding").cast("array<double>").alias("coefficients"))
+    return media.mean_features(frames).select("source", "seq", F.posexplode("features").alias("at_", "mean")).withColumn("mean", F.round("mean", 6))
+
+
+def _calls(spark, sf_dir) -> DataFrame:
+    rows = media.segment_times(_segments(spark, sf_dir)).withColumn("path", F.concat(F.lit("calls/call"), F.col("source").cast("string"), F.lit(".wav")))
+    text = F.when(F.col("seq") % 6 == 4, "  ").otherwise(F.concat(F.col("text"), F.when(F.col("seq") % 2 == 0, " the budget and the cost on 1/2/2024").otherwise("")))
+    return rows.select("path", "seq", "start_time", "end_time", F.col("role").alias("speaker"), F.when(F.col("seq") % 2 == 0, "en").otherwise("de").alias("language"), text.alias("text"), F.lit(None).cast("string").alias("meeting_title"), F.lit("").alias("user_description"))
+
+
+_CALLS = f"""{_SEG}, c0 as (select source, seq, start_time, end_time, role as speaker, case when seq % 2 = 0 then 'en' else 'de' end as language, case when seq % 6 = 4 then '' else {_STRIP.format("text || case when seq % 2 = 0 then ' the budget and the cost on 1/2/2024' else '' end")} end as text from times),
+c1 as (select *, row_number() over (partition by source order by seq) - 1 as i, count(*) over (partition by source) as total from c0 where text <> ''),
+words_ as (select source, i, unnest(ws) as w, generate_subscripts(ws, 1) as pos from (select source, i, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{{{4,}}}}', 0) as ws from c1)),
+own_ as (select source, i, w, count(*) as n, min(pos) as first from words_ where not list_contains({_list(T.STOP_AUDIO_CHUNK)}, w) group by all),
+own as (select source, i, list(w order by n desc, first) as keys from own_ group by all),
+all_ as (select source, w, count(*) as n, min(i * 1000000 + pos) as first from words_ where not list_contains({_STOPS}, w) group by all),
+overall as (select source, list(w order by n desc, first) as keys from all_ group by all)""".replace("{{", "{").replace("}}", "}")
+
+
+@query(
+    f"""with {_CALLS}
+select 'audio_call' || source || '_chunk_' || i as id, i::int as chunk_index, total::int as total_chunks, '[' || {_TS.format("start_time")} || ' → ' || {_TS.format("end_time")} || ']' as timestamp_formatted, speaker, language, len(regexp_split_to_array(text, '\\s+'))::int as word_count,
+coalesce(array_to_string(own.keys[1:10], ' '), '') as chunk_keywords, coalesce(array_to_string(overall.keys[1:20], ' '), '') as overall_keywords, case when bool_or(seq % 2 = 0) over (partition by source) then 'financial' else '' end as topics, case when bool_or(seq % 2 = 0) over (partition by source) then '1/2/2024' else '' end as entities,
+text || case when own.keys is null then '' else ' ' || array_to_string(own.keys[1:10], ' ') end as searchable_text, '# Audio: call' || source || '.wav - Segment ' || (seq + 1) as heading
+from c1 left join own using (source, i) left join overall using (source)"""
+)
+def audio_chunks(spark, sf_dir):
+    made = chunks.audio_chunks(_calls(spark, sf_dir))
+    m = F.col("metadata")
+    text = lambda c: F.array_join(m[c], " " if "keywords" in c else "|").alias(c)
+    return made.select("id", m["chunk_index"].alias("chunk_index"), m["total_chunks"].alias("total_chunks"), m["timestamp_formatted"].alias("timestamp_formatted"), m["speaker"].alias("speaker"), m["language"].alias("language"), m["word_count"].alias("word_count"), text("chunk_keywords"), text("overall_keywords"), text("topics"), text("entities"), m["searchable_text"].alias("searchable_text"), F.substring_index("content", "\n", 1).alias("heading"))
+
+
+@query(
+    f"""with {_CALLS}, d as (select round(sum(end_time - start_time), 3) as total from c1)
+select (select count(*) from c1) as total, total as total_duration, case when floor(total) >= 172800 then (floor(total)::bigint // 86400) || ' days, ' when floor(total) >= 86400 then '1 day, ' else '' end || (floor(total)::bigint % 86400 // 3600) || ':' || lpad((floor(total)::bigint % 3600 // 60)::varchar, 2, '0') || ':' || lpad((floor(total)::bigint % 60)::varchar, 2, '0') as total_duration_formatted,
+(select count(distinct speaker)::int from c1) as unique_speakers, (select array_to_string(list_sort(list(distinct speaker)), '|') from c1) as speakers, (select array_to_string(list_sort(list(distinct language)), '|') from c1) as languages, 'financial' as topics from d"""
+)
+def audio_stats(spark, sf_dir):
+    found = media.audio_statistics(chunks.audio_chunks(_calls(spark, sf_dir)).withColumn("metadata", F.col("metadata").withField("duration", F.col("metadata.end_time") - F.col("metadata.start_time"))))
+    return found.withColumns({"total_duration": F.round("total_duration", 3), **{c: F.array_join(c, "|") for c in ("speakers", "languages", "topics")}})
+
+
+_REQUESTS = ["text: a b ; image: c.png", "audio:x.wav", "text: t; audio: y.mp3 ;image:", "nothing", "text: swallowed image: z.png"]
+
+
+@query(
+    f"""select p_partkey, nullif({_STRIP.format("regexp_extract(r, 'text:([^;]+)', 1)")}, '') as text, nullif({_STRIP.format("regexp_extract(r, 'image:([^;]+)', 1)")}, '') as image, nullif({_STRIP.format("regexp_extract(r, 'audio:([^;]+)', 1)")}, '') as audio from (select p_partkey, {_list(_REQUESTS)}[p_partkey % 5 + 1] as r from part)"""
+)
+def request_parts(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", T.asked_parts(pick(_REQUESTS, F.col("p_partkey") % 5)).alias("r")).select("p_partkey", "r.text", "r.image", "r.audio")
+
+
+@query(
+    """with t as (select o_orderkey, o_totalprice as s from orders)
+select o_orderkey, case when floor(s) >= 172800 then (floor(s)::bigint // 86400) || ' days, ' when floor(s) >= 86400 then '1 day, ' else '' end || (floor(s)::bigint % 86400 // 3600) || ':' || lpad((floor(s)::bigint % 3600 // 60)::varchar, 2, '0') || ':' || lpad((floor(s)::bigint % 60)::varchar, 2, '0') as said from t"""
+)
+def readable_durations(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.time_of_day(F.col("o_totalprice")).alias("said"))
+
+
+@query(
+    """with u as (select 'text' as modality, 'narrative_text' as type, 'pdf' as file_kind, coalesce(source, 'none') as source, length(text) // 4 as n, false as pic from documents union all select 'audio', 'audio', 'audio', 'call' || conv_id, length(text) // 4, role = 'user' from conversations)
+select count(*) as total_chunks, sum(n)::bigint as total_tokens, count(*) filter (pic) as chunks_with_images, (select string_agg(type || '=' || c, '|' order by type) from (select type, count(*) as c from u group by 1)) as by_type,
+(select string_agg(file_kind || '=' || c, '|' order by file_kind) from (select file_kind, count(*) as c from u group by 1)) as by_file_type, (select count(distinct source)::int from u) as sources from u"""
+)
+def processing_summary(spark, sf_dir):
+    from lodestone.schema import metadata
+
+    text, call = table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations")
+    row = lambda df, kind, kind_of, file_kind, source, pic: df.select(F.lit(file_kind).alias("file_kind"), T.token_count(F.col("text")).alias("token_count"), metadata(type=F.lit(kind), modality=F.lit(kind_of), source=source, has_image_file=pic).alias("metadata"))
+    every = row(text, "narrative_text", "text", "pdf", F.coalesce("source", F.lit("none")), F.lit(None)).unionByName(row(call, "audio", "audio", "audio", F.concat(F.lit("call"), F.col("conv_id").cast("string")), F.col("role") == "user"))
+    found = sinks.processing_summary(every)
+    said = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e.key, F.lit("="), e.value.cast("string"))), "|").alias(c)
+    return found.select("total_chunks", "total_tokens", "chunks_with_images", said("by_type"), said("by_file_type"), F.size("by_source").alias("sources"))

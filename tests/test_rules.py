@@ -1,19 +1,21 @@
 """Rules on small literal inputs, against plain Python where the rule is a procedure."""
 
-import io
 import re
-import zipfile
+import sys
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import context, documents, media, providers, search
-from lodestone.sources import files
 from lodestone.streaming.ingest import stream_chunks
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers do not have the tests' models
+
 
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
@@ -90,34 +92,75 @@ def test_speakers():
     assert media.speakers_of(x[:1]).tolist() == [0] and media.speakers_of(x[:0]).tolist() == []
 
 
-def docx(body):
-    raw = io.BytesIO()
-    with zipfile.ZipFile(raw, "w") as z:
-        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
-    return raw.getvalue()
+def test_embedder_stand_in(spark):
+    rows = spark.createDataFrame([(1, "a b"), (2, None)], "id long, content string")
+    got = providers.embedded(rows).orderBy("id").collect()
+    assert abs(sum(v * v for v in got[0].embedding) - 1) < 1e-5 and set(got[1].embedding) == {0.0} and got[0].embedding_error is None
 
 
-def test_a_broken_file_fails_alone(spark, tmp_path):
-    good = docx("<w:p><w:r><w:t>Hello</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc></w:tr></w:tbl>")
-    (tmp_path / "good.docx").write_bytes(good)
-    (tmp_path / "bad.docx").write_bytes(b"nothing")
-    found = files.find_files(spark, str(tmp_path))
-    assert {r.file_kind for r in found.collect()} == {"docx"}
-    rows = files.extract(spark.read.format("binaryFile").load(str(tmp_path))).collect()
-    assert sorted(r.element_type for r in rows if not r.error) == ["Paragraph", "Table"]
-    assert sum(r.error is not None for r in rows) == 1
+class Picky(providers.HashingEmbedder):
+    def embed(self, texts):
+        if any("bad" in t for t in texts):
+            raise ValueError("bad text")
+        return super().embed(texts)
 
 
-def test_embedder_stand_in(spark):
-    rows = spark.createDataFrame([(1, "a b"), (2, None)], "id long, content string")
-    got = providers.embedded(rows).orderBy("id").collect()
-    assert abs(sum(v * v for v in got[0].embedding) - 1) < 1e-5 and set(got[1].embedding) == {0.0}
+def test_an_embedding_that_fails_is_null(spark):
+    rows = spark.createDataFrame([(1, "good"), (2, "bad"), (3, "fine")], "id long, content string").coalesce(1)
+    got = providers.embedded(rows, Picky(8)).orderBy("id").collect()
+    assert [r.embedding is None for r in got] == [False, True, False] and got[1].embedding_error == "ValueError: bad text"
+
+
+def test_decimals_as_python_prints_them(spark):
+    rng = np.random.default_rng(5)
+    values = [0.0625, 0.1875, 0.0005, 0.0015, 1.0005, 2.675, 0.9995, -0.0625, -0.3125, 0.0, 1.0, 123.4565, *(rng.integers(0, 2_000_000, 400) / 2000).tolist(), *rng.random(200).tolist()]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", T.fixed3(F.col("v")).alias("s")).collect()
+    assert [r.s for r in got] == [f"{r.v:.3f}" for r in got]
+    numbers = [0.0, 1.0, 12.5, 1234567.25, 12345678.9, 1.2e7, 123456789012345.0, 1e16, 2.5e17, 0.001, 0.0001]
+    got = spark.createDataFrame([(v,) for v in numbers], "v double").select("v", T.plain_number(F.col("v")).alias("s")).collect()
+    assert [r.s for r in got] == [str(r.v) for r in got]
+
+
+def test_durations_and_requests(spark):
+    import datetime
+
+    for seconds in (0.0, 59.9, 3661.5, 86399.0, 86400.0, 200_000.0):
+        assert one(spark, T.time_of_day(F.lit(seconds))) == str(datetime.timedelta(seconds=int(seconds)))
+    assert one(spark, T.asked_parts(F.lit("text: a b; image: c.png "))).asDict() == {"text": "a b", "image": "c.png", "audio": None}
+
+
+def test_speakers_of_each_recording(spark):
+    rng = np.random.default_rng(2)
+    rows = [("a.wav", i, (rng.normal(5 * (i % 2), 0.1, 4)).tolist()) for i in range(20)] + [("b.wav", 0, [1.0, 2.0])]
+    got = media.diarized(spark.createDataFrame(rows, "source string, seq int, features array<double>")).collect()
+    by = {(r.source, r.seq): r.speaker for r in got}
+    assert len({by["a.wav", i] for i in range(0, 20, 2)}) == 1 and by["a.wav", 0] != by["a.wav", 1] and by["b.wav", 0] == "Speaker 1"
+    two = media.diarized(spark.createDataFrame(rows, "source string, seq int, features array<double>"), known=3).collect()
+    assert len({r.speaker for r in two if r.source == "a.wav"}) == 3
+
+
+@pytest.mark.parametrize("block", [1024, 7])
+def test_silhouettes_by_blocks(spark, block):
+    rng = np.random.default_rng(3)
+    rows = [(s, int(k), rng.normal(k, 1, 3).tolist()) for s, n in (("a", 40), ("b", 9)) for k in rng.integers(0, 3, n)] + [("c", 0, [1.0, 2.0, 3.0])] * 3
+    got = {r.source: r.silhouette for r in media.silhouettes(spark.createDataFrame(rows, "source string, label int, features array<double>"), block).collect()}
+    for s in "abc":
+        mine = [r for r in rows if r[0] == s]
+        assert abs(got[s] - media.silhouette(np.array([r[2] for r in mine]), np.array([r[1] for r in mine]))) < 1e-5
+
+
+def test_a_picture_that_no_attempt_reads(spark):
+    attempts = spark.createDataFrame([(1, 1, 40.0, "some longer text", 3, "plain"), (1, 2, 80.0, "the better reading", 3, "sharp"), (1, 3, 80.0, "too late", 2, "big"), (2, 1, 0.0, "", 0, "plain")], "image_id int, attempt_no int, confidence double, text string, word_count int, method string")
+    images = spark.createDataFrame([(1,), (2,), (3,)], "image_id int")
+    got = {r.image_id: r for r in media.readings(images, attempts).collect()}
+    assert (got[1].ocr_text, got[1].has_text, got[1].ocr_method) == ("the better reading", True, "sharp")
+    assert all((got[i].ocr_text, got[i].word_count, got[i].has_text, got[i].ocr_method) == ("", 0, False, "none") for i in (2, 3))
 
 
 def test_stream_adds_chunks(spark, tmp_path):
     spark.createDataFrame([(1, "One sentence. Another one."), (2, "")], "doc_id long, text string").write.parquet(str(tmp_path / "in"))
     stream_chunks(spark, str(tmp_path / "in"), str(tmp_path / "index"), str(tmp_path / "state")).awaitTermination(120)
-    assert [r.content for r in files.read_index(spark, str(tmp_path / "index")).collect()] == ["One sentence. Another one."]
+    assert [r.content for r in spark.read.parquet(str(tmp_path / "index")).collect()] == ["One sentence. Another one."]
 
 
 @settings(max_examples=5, deadline=None)
