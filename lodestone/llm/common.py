@@ -82,7 +82,7 @@ def wide(df: DataFrame, rows: int, per_task: int) -> DataFrame:
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut a batch where a column's text passes limit bytes, so that working memory follows bytes and not rows."""
+    """Cut a batch where a column's text passes limit bytes, so that working memory follows bytes and not rows; it is given back after the batch."""
     n = batch.num_rows
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
@@ -91,6 +91,17 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator
         to = max(at + 1, int(np.searchsorted(sizes, base + limit, side="right")))
         yield batch.slice(at, to - at)
         at = to
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system; allocators keep it otherwise, and workers that wait for their next task would hold it."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

@@ -214,24 +214,26 @@ def places(kinds: list[tuple[int, dict[int, int]]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end: int = END_ID, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end: int = END_ID, keep_ids: bool = False, room: int = 500_000) -> DataFrame:
     """pieces() with sequence_id (gapless from 0) and offset (gapless from 0 within it): each id lies in exactly one piece.
 
     A null text is an empty one and makes a piece of the end id alone. Repeated rows and null ids are packed like any others, an
-    empty table gives no rows, and other columns play no part. Lengths that many pieces share are numbered in parts, so that no
-    task gathers them all. keep_ids adds the ids themselves.
+    empty table gives no rows, and other columns play no part. A very long text becomes many pieces, and equal pieces are told apart by their numbers. Lengths that
+    many pieces share are numbered in parts, so that no task gathers them all. keep_ids adds the ids themselves; room is how many words and
+    stretches of text a worker remembers, about 200 bytes each.
     """
     spark = docs.sparkSession
-    cut_up = cut(pieces(docs, tokenizer_path, window, end, keep_ids=keep_ids), "pieces")
+    # equal rows differ in copy only, which is written with them and so stays: a crowd of them is dealt out like any other
+    cut_up = cut(pieces(docs, tokenizer_path, window, end, room, keep_ids).withColumn("copy", F.monotonically_increasing_id()), "pieces")
     counts = {int(r.length): int(r.n) for r in cut_up.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most window rows
     total, width = sum(counts.values()), int(spark.conf.get("spark.sql.shuffle.partitions"))
     cap = max(32, total // (2 * width))
     parts = {k: -(-n // cap) for k, n in counts.items() if n > cap}  # at most 2 * width lengths
     split = F.coalesce(F.create_map(*[F.lit(int(x)) for kv in sorted(parts.items()) for x in kv])[F.col("length")], F.lit(1)) if parts else F.lit(1)
-    dealt = cut_up.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), split).cast("int"))
+    dealt = cut_up.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "copy"), split).cast("int"))
     sizes = dealt.groupBy("length", "part").agg(F.count("*").alias("n"))  # at most window + 2 * width rows
     before = sizes.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
-    nth = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids_crc32"))
+    nth = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids_crc32", "copy"))
     numbered = dealt.withColumn("nth", nth).join(F.broadcast(before), ["length", "part"]).withColumn("number", F.col("before") + F.col("nth") - 1)
     where = spark.sparkContext.broadcast(places(plan(counts, window)))
 
@@ -246,6 +248,6 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end: int =
             columns |= {"sequence_id": pa.array(row[:, 3] + k // row[:, 2]), "offset": pa.array(row[:, 4] + k % row[:, 2] * length)}
             yield pa.RecordBatch.from_pydict(columns)
 
-    names = cut_up.columns
-    schema = ", ".join(f"{n} {t}" for n, t in cut_up.dtypes) + ", sequence_id bigint, offset bigint"
+    names = [n for n in cut_up.columns if n != "copy"]
+    schema = ", ".join(f"{n} {t}" for n, t in cut_up.dtypes if n != "copy") + ", sequence_id bigint, offset bigint"
     return numbered.select(*names, "number").mapInArrow(run, schema)
