@@ -35,7 +35,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents' ids into sequences of 4096; the ids themselves are part of the result."""
-    return packing.pack(docs, vocabulary("word_bpe_49k.json"), window=4096, end=2, keep_ids=True)
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"), window=4096, end=2, keep_ids=True, room=150_000)
 
 
 STAGES: list[tuple[str, Stage]] = [
