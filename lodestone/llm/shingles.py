@@ -3,9 +3,10 @@
 simhash.py calls this for links that a few differing bits cannot reach. Texts of equal sets are one class. A class has a MinHash signature
 of BANDS bands of ROWS minima; classes that agree in a whole band meet in its bucket, a pair of similarity s with chance
 1 - (1 - s^ROWS)^BANDS (0.9996 at 0.8). In each bucket all classes are first compared with the one that meets most others, which
-for copies of one text is the text itself; what is linked becomes components. Buckets that still hold several components are compared
-pair by pair inside their tasks, on SKETCH one-bit minima a class, and only pairs whose sketches agree as often as those of similar
-sets do (all but 1 in 4000) leave the task. Whole sets decide every link, so none is wrong.
+for copies of one text is the text itself, and what is linked becomes components. Buckets that still hold several components are compared
+pair by pair inside their tasks: first by SKETCH one-bit minima a class, then, where these agree as often as those of similar sets do
+(all but 1 in 4000), by their whole sets; only links that connect leave a task, never pairs. Pairs with a hub must agree in as many
+of the signature's minima as similar sets do before their whole sets are joined. Whole sets decide every link, so none is wrong.
 """
 
 from __future__ import annotations
@@ -102,20 +103,44 @@ def _signatures(width: int, bands: int, rows: int):
                 hashes, n = sets_of(every, n_every)
                 key = mixed(_reduced(np.add, mixed(hashes ^ _U(0x9E3779B97F4A7C15)), n, 0) + n.astype(_U))
                 band = np.zeros((bands, part.num_rows), _U)
+                minima = np.empty((part.num_rows, bands * rows), np.uint8)
                 for k in range(bands * rows):
-                    band[k // rows] += _reduced(np.minimum, hashes * times[k] + plus[k], n, 0) * mixer[k]
+                    least = _reduced(np.minimum, hashes * times[k] + plus[k], n, 0)
+                    band[k // rows] += least * mixer[k]
+                    minima[:, k] = mixed(least).astype(np.uint8)
                 some = np.nonzero(n > 0)[0]
                 buckets = mixed(band.T[some] + np.arange(bands, dtype=_U)).view(np.int64)
                 columns = [part.column("doc_id"), part.column("h"), pa.array(key.view(np.int64)), pa.array(fingerprints_of(every, n_every))]
-                columns += [_lists(buckets.reshape(-1), np.where(n > 0, bands, 0)), _lists(hashes.astype(np.uint32).view(np.int32), n)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "key", "fp", "buckets", "shingles"])
+                columns += [_lists(buckets.reshape(-1), np.where(n > 0, bands, 0)), pa.array([m.tobytes() for m in minima], pa.binary()), _lists(hashes.astype(np.uint32).view(np.int32), n)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "key", "fp", "buckets", "minima", "shingles"])
 
     return run
 
 
 def signatures(texts: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, h, key, fp, buckets, shingles) of (doc_id, h, text): the class of equal sets, SimHash, buckets, and 32 bits of each distinct shingle's hash."""
-    return texts.mapInArrow(_signatures(width, bands, rows), "doc_id long, h long, key long, fp long, buckets array<long>, shingles array<int>")
+    """(doc_id, h, key, fp, buckets, minima, shingles) of (doc_id, h, text): the class of equal sets, SimHash, buckets, a byte of each minimum, and 32 bits
+    of each distinct shingle's hash."""
+    return texts.mapInArrow(_signatures(width, bands, rows), "doc_id long, h long, key long, fp long, buckets array<long>, minima binary, shingles array<int>")
+
+
+def _far(n: int, agree: float) -> int:
+    """How many of n places may differ, SIGMAS above what is expected where each agrees with that chance."""
+    return int(n * (1 - agree) + SIGMAS * np.sqrt(n * agree * (1 - agree)))
+
+
+def likely(pairs: DataFrame, minima: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose minima (key, minima) agree as often as those of sets of similarity least do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1 << 14):
+                part = batch.slice(at, 1 << 14)
+                x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(part.num_rows, -1) for c in ("x", "y"))
+                near = pa.array((x != y).sum(axis=1) <= _far(x.shape[1], least))
+                yield pa.RecordBatch.from_arrays([part.column("a").filter(near), part.column("b").filter(near)], ["a", "b"])
+
+    both = pairs.join(minima.select(F.col("key").alias("a"), F.col("minima").alias("x")), "a").join(minima.select(F.col("key").alias("b"), F.col("minima").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float, share: int = 1024) -> DataFrame:
@@ -147,38 +172,71 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(n), pa.array([r.tobytes() for r in packed], pa.binary())], ["key", "n", "sketch"])
 
 
-def _across(least: float, block: int = 256):
-    """Pairs of classes of different roots in each group that may be similar, by their sizes and sketches."""
-    expected = (1 + least) / 2
-    most = int(SKETCH * (1 - expected) + SIGMAS * np.sqrt(SKETCH * expected * (1 - expected)))
+def _passing(rows: pa.Table, least: float, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of pairs in each group whose roots differ and that sizes and sketches allow to be similar."""
+    group, root, n, part, cross = (rows.column(c).to_numpy() for c in ("group", "root", "n", "part", "cross"))
+    sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(group), -1)
+    most = _far(SKETCH, (1 + least) / 2)
+    for s, k in zip(*runs_of(group)):
+        for at in range(s, s + k, block):
+            i = np.arange(at, min(at + block, s + k))
+            j = np.arange(at, s + k)
+            ok = (i[:, None] < j[None]) & (root[i][:, None] != root[j][None])
+            ok &= np.minimum(n[i][:, None], n[j][None]) >= least * np.maximum(n[i][:, None], n[j][None])
+            if cross[s]:
+                ok &= part[i][:, None] != part[j][None]
+            a, b = np.nonzero(ok)
+            for to in range(0, len(a), 1 << 16):
+                x, y = i[a[to : to + (1 << 16)]], j[b[to : to + (1 << 16)]]
+                near = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64) <= most
+                yield x[near], y[near]
+
+
+def _involved(least: float):
+    """(group, key) of the classes that stand in such a pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_runs(batches, "group"):
-            group, key, root, n, part, cross = (rows.column(c).to_numpy() for c in ("group", "key", "root", "n", "part", "cross"))
-            sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(key), -1)
-            for s, k in zip(*runs_of(group)):
-                for at in range(s, s + k, block):
-                    i = np.arange(at, min(at + block, s + k))
-                    j = np.arange(at, s + k)
-                    ok = (i[:, None] < j[None]) & (root[i][:, None] != root[j][None])
-                    ok &= np.minimum(n[i][:, None], n[j][None]) >= least * np.maximum(n[i][:, None], n[j][None])
-                    if cross[s]:
-                        ok &= part[i][:, None] != part[j][None]
-                    a, b = np.nonzero(ok)
-                    for to in range(0, len(a), 1 << 16):
-                        x, y = i[a[to : to + (1 << 16)]], j[b[to : to + (1 << 16)]]
-                        near = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64) <= most
-                        x, y = key[x[near]], key[y[near]]
-                        if len(x):
-                            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
+            found = np.zeros(rows.num_rows, bool)
+            for x, y in _passing(rows, least):
+                found[x] = found[y] = True
+            some = rows.select(["group", "key"]).filter(pa.array(found)).combine_chunks()
+            yield from some.to_batches()
 
     return run
 
 
-def links(marks: DataFrame, given: DataFrame, least: float, block: int = 8192) -> tuple[DataFrame, DataFrame]:
+def _linked(least: float):
+    """Links (a, b) of similar sets that connect what is similar in each group: never more than a group has rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_runs(batches, "group"):
+            key, root = rows.column("key").to_numpy(), rows.column("root").to_numpy()
+            sets = rows.column("shingles").combine_chunks()
+            ends = sets.offsets.to_numpy()
+            flat = sets.flatten().to_numpy(zero_copy_only=False)
+            ends = ends - ends[0]
+            _, label = np.unique(root, return_inverse=True)  # what is joined in this task has one label
+            left, right = [], []
+            for x, y in _passing(rows, least):
+                for i, j in zip(x.tolist(), y.tolist()):
+                    if label[i] == label[j]:
+                        continue
+                    one, other = flat[ends[i] : ends[i + 1]], flat[ends[j] : ends[j + 1]]
+                    common = len(np.intersect1d(one, other, assume_unique=True))
+                    if common >= least * (len(one) + len(other) - common):
+                        label[label == label[j]] = label[i]
+                        left.append(max(key[i], key[j]))
+                        right.append(min(key[i], key[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def links(marks: DataFrame, classes: DataFrame, given: DataFrame, least: float, block: int = 4096) -> tuple[DataFrame, DataFrame]:
     """(links, roots): links (a, b) of classes that connect all that bands bring together, and roots (node, root) of those that are linked.
 
-    marks is what signatures() gives; given holds pairs (a, b) from elsewhere that are to be verified too. A bucket of more than block classes
+    marks is what signatures() gives, classes (key, minima) has a row for each key of it; given holds pairs (a, b) from elsewhere that are to be verified too. A bucket of more than block classes
     is dealt out as pairs of its chunks.
     """
     sets = marks.select("key", "shingles")
@@ -189,7 +247,8 @@ def links(marks: DataFrame, given: DataFrame, least: float, block: int = 8192) -
     hubs = met.join(central, "key").groupBy("bucket").agg(F.max(F.struct("meets", "key")).alias("hub"))
     hubs = cut(hubs.select("bucket", F.col("hub.key").alias("b")), "bucket-hubs")
     stars = met.join(hubs, "bucket").filter("key <> b").select(F.greatest("key", "b").alias("a"), F.least("key", "b").alias("b"))
-    stars = cut(stars.union(given.select(F.greatest("a", "b"), F.least("a", "b"))).distinct(), "bucket-stars")
+    stars = stars.union(given.select(F.greatest("a", "b"), F.least("a", "b"))).distinct()
+    stars = cut(likely(stars, classes, least), "bucket-stars")
     found = cut(verified(stars, sets, least), "star-links")
     roots = components(found)
     rooted = met.filter("n > 2").join(roots, F.col("key") == F.col("node"), "left").select("bucket", "n", "key", F.coalesce("root", "key").alias("root"))
@@ -204,10 +263,15 @@ def links(marks: DataFrame, given: DataFrame, least: float, block: int = 8192) -
     pairs = F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.struct((F.greatest(j, mine) * k + F.least(j, mine)).alias("pair"), (j != mine).alias("cross")))
     dealt = rooted.withColumnRenamed("n", "size").withColumn("d", F.explode(F.when(F.col("size") > block, pairs).otherwise(F.array(F.struct(F.lit(-1).alias("pair"), F.lit(False).alias("cross"))))))
     dealt = dealt.select(F.when(F.col("d.pair") < 0, F.col("bucket")).otherwise(F.xxhash64("bucket", "d.pair")).alias("group"), "key", "root", mine.alias("part"), "d.cross").join(sketches, "key")
+    dealt = cut(dealt, "sketched-buckets")
     tasks = int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    across = dealt.repartition(tasks, "group").sortWithinPartitions("group").mapInArrow(_across(least), "a long, b long")
-    across = cut(across.distinct(), "bucket-pairs")
-    if not across.isEmpty():
-        found = cut(found.union(verified(across, sets, least)), "all-links")
-        roots = components(found)
+    by_group = lambda rows: rows.repartition(tasks, "group").sortWithinPartitions("group")
+    involved = cut(by_group(dealt).mapInArrow(_involved(least), "group long, key long"), "likely-classes")
+    if involved.isEmpty():
+        return found, roots
+    whole = cut(sets.join(involved.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles")), "likely-sets")
+    whole = dealt.join(involved, ["group", "key"], "left_semi").join(whole, "key")
+    across = by_group(whole).mapInArrow(_linked(least), "a long, b long")
+    found = cut(found.union(across).distinct(), "all-links")
+    roots = components(found)
     return found, roots

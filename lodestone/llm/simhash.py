@@ -175,12 +175,12 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).withColumn("h", F.xxhash64("text"))
     marks = cut(shingles.signatures(source.select("doc_id", "h", "text"), width), "shingle-signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("first")
-    classes = cut(marks.groupBy("key").agg(first, F.min("fp").alias("fp")), "shingle-classes")
+    classes = cut(marks.groupBy("key").agg(first, F.min("fp").alias("fp"), F.min("minima").alias("minima")), "shingle-classes")
     of_fp = cut(classes.groupBy("fp").agg(F.min("key").alias("low"), F.count("*").alias("n")), "fingerprint-classes")
     same = classes.join(of_fp.filter("n > 1"), "fp").filter("key <> low").select(F.col("key").alias("a"), F.col("low").alias("b"))
     near = links(of_fp.select("fp"), bits).select(F.col("a").alias("fa"), F.col("b").alias("fb"))
     near = near.join(of_fp.select(F.col("fp").alias("fa"), F.col("low").alias("a")), "fa").join(of_fp.select(F.col("fp").alias("fb"), F.col("low").alias("b")), "fb").select("a", "b")
-    _, roots = shingles.links(marks, cut(same.union(near), "near-fingerprints"), similarity)
+    _, roots = shingles.links(marks, classes, cut(same.union(near), "near-fingerprints"), similarity)
     linked = cut(roots.join(classes, roots.node == classes.key).select("key", "root", "first"), "linked-classes")
     named = linked.join(linked.groupBy("root").agg(F.min("first").alias("lowest")), "root").select("key", "lowest")
     every = classes.join(named, "key", "left").select("key", F.coalesce("lowest", "first").alias("lowest"))

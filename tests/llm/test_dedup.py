@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from small import SCHEMA, closed, corpus
 
 from lodestone.llm import shingles, simhash
@@ -83,8 +84,9 @@ def test_crowded_buckets_are_dealt_out(spark):
     docs = spark.createDataFrame(rows, SCHEMA)
     marks = shingles.signatures(docs.selectExpr("doc_id", "xxhash64(text) as h", "text"), 5).cache()
     none = spark.createDataFrame([], "a long, b long")
-    for block in (8192, 8):
-        _, roots = shingles.links(marks, none, 0.8, block=block)
+    classes = marks.groupBy("key").agg(F.min("minima").alias("minima"))
+    for block in (4096, 8):
+        _, roots = shingles.links(marks, classes, none, 0.8, block=block)
         assert len({r.root for r in roots.collect()}) == 1 and roots.count() == 60
 
 
@@ -99,7 +101,7 @@ def test_sketches_pass_similar_sets():
     batch = pa.RecordBatch.from_pydict({"key": pa.array(keys), "shingles": pa.array([s.tolist() for s in sets], pa.list_(pa.int32()))})
     made = pa.Table.from_batches(list(shingles._sketches(iter([batch]))))
     bits = np.frombuffer(b"".join(made["sketch"].to_pylist()), np.uint64).reshape(len(sets), -1)
-    limit = shingles.SKETCH * 0.1 + shingles.SIGMAS * np.sqrt(shingles.SKETCH * 0.09)
+    limit = shingles._far(shingles.SKETCH, 0.9)
     far = lambda a, b: np.bitwise_count(bits[a::3] ^ bits[b::3]).sum(axis=1)
     assert (far(0, 1) <= limit).all() and (far(1, 2) <= limit).mean() < 0.02
 
@@ -112,3 +114,15 @@ def test_fingerprints_of_shingle_hashes():
     ones = [sum(int(h) >> b & 1 for h in hashes[:3]) for b in range(64)]
     fp = shingles.fingerprints_of(hashes, n)
     assert int(fp[0]) & (2**64 - 1) == sum(1 << b for b in range(64) if 2 * ones[b] > 3) and fp[2] == 0
+
+
+def test_copies_of_a_missing_text_give_few_rows(spark):
+    """Copies that resemble the text they come from, which is not there, and few each other: pairs are compared, not written."""
+    rows = copies_of_one(120)[1:]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    marks = shingles.signatures(docs.selectExpr("doc_id", "xxhash64(text) as h", "text"), 5).cache()
+    classes = marks.groupBy("key").agg(F.min("minima").alias("minima"))
+    found, roots = shingles.links(marks, classes, spark.createDataFrame([], "a long, b long"), 0.65)
+    assert len({r.root for r in roots.collect()}) == 1 and roots.count() == len(rows) and found.count() <= 20 * len(rows)
+    wanted = sorted(((r[0], rows[g][0]) for r, g in zip(rows, grouped(rows))), key=repr)
+    assert sorted(map(tuple, simhash.similar_groups(docs).select("doc_id", "first_id").collect()), key=repr) == wanted
