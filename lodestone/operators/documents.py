@@ -138,8 +138,12 @@ def placed_images(images: DataFrame, elements: DataFrame) -> DataFrame:
 
 def numeric(cell: Column) -> Column:
     """The number left of a cell when only digits and points are kept; null if that is none."""
-    clean = F.regexp_replace(cell, r"[^\d.]", "")
-    return F.when(F.rlike(clean, F.lit(r"^(\d+\.?\d*|\.\d+)$")), clean.try_cast("double"))
+    return F.regexp_replace(cell, r"[^\d.]", "").try_cast("double")
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value evaluated once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def _rows_of(tables: DataFrame) -> DataFrame:
@@ -151,10 +155,9 @@ def _summary(head: Column, data: Column) -> Column:
     """What is said of each column with numbers in at least half of the rows: its highest value and the first cell of the first row that has it."""
 
     def of(name: Column, at: Column) -> Column:
-        known = F.filter(F.transform(data, lambda r: F.struct(numeric(F.get(r, at)).alias("v"), F.get(r, F.lit(0)).alias("lead"))), lambda x: x.v.isNotNull())
-        best = F.aggregate(known, F.get(known, F.lit(0)), lambda a, x: F.when(x.v > a.v, x).otherwise(a))
-        said = F.concat(F.lit("The highest "), name, F.lit(" is "), plain_number(best.v), F.lit(" (from "), best.lead, F.lit(")"))
-        return F.when((F.size(known) > 0) & (F.size(known) >= F.size(data) * F.lit(0.5)), said)
+        known = F.filter(F.transform(data, lambda r, i: F.struct(numeric(F.get(r, at)).alias("v"), (-i).alias("i"))), lambda x: x.v.isNotNull())
+        told = lambda best: F.concat(F.lit("The highest "), name, F.lit(" is "), plain_number(best.v), F.lit(" (from "), F.get(F.get(data, -best.i), F.lit(0)), F.lit(")"))
+        return _let(known, lambda k: F.when((F.size(k) > 0) & (F.size(k) >= F.size(data) * F.lit(0.5)), _let(F.array_max(k), told)))
 
     return F.array_join(F.filter(F.transform(head, of), lambda x: x.isNotNull()), "; ")
 
@@ -169,7 +172,7 @@ def told(head: Column, data: Column, title: Column, description: Column, summary
     """A table in words: title, description, size, each row as header: value pairs, the summary and the table itself."""
     part = lambda text: F.when(text != "", text)
     pairs = lambda r: F.array_join(F.filter(F.zip_with(head, r, lambda h, v: F.when((v != "") & h.isNotNull(), F.concat(h, F.lit(": "), v))), lambda x: x.isNotNull()), ", ")
-    numbered = F.filter(F.transform(data, lambda r, i: F.when(pairs(r) != "", F.concat((i + 1).cast("string"), F.lit(". "), pairs(r)))), lambda x: x.isNotNull())
+    numbered = F.filter(F.transform(data, lambda r, i: F.concat((i + 1).cast("string"), F.lit(". "), pairs(r))), lambda x: ~F.rlike(x, F.lit(r"^\d+\. $")))
     # The phrases between the parts.
     return F.concat_ws(
         "\n",
