@@ -5,11 +5,13 @@ V known words and the unknown one. All counts cover the whole training fold and
 they are shuffled, as blocks of sorted keys. The trie's first level holds the words as a monotone sequence of their hashes, with
 running counts; the second holds for each context the numbers of its successors, made monotone by the context's own base, with monotone
 pointers from contexts to their ranges and 16-bit logarithms of the smoothed probabilities. Levels are cut into files in the
-shared folder, each built by one task, and scoring tasks map them into memory: what a task holds is the pages it reads.
+shared folder, each built by one task, and scoring tasks map those that they need into memory, a bounded number at a time: what a task holds is
+the pages it reads. A word is known by its 64-bit hash alone, so two of V words share counts with a chance of V^2 / 2^65 (V is under 2^32).
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import urlparse
@@ -42,23 +44,40 @@ def word_hash(word: bytes) -> int:
 END = word_hash(b"\n")
 
 
+class Opened:
+    """Files of one level by number, mapped into memory when they are first asked for; the least recently used are closed beyond most."""
+
+    def __init__(self, prefix: str, most: int = 256):
+        self.prefix, self.most, self.levels = prefix, most, OrderedDict()
+
+    def __getitem__(self, number: int) -> Level:
+        if number in self.levels:
+            self.levels.move_to_end(number)
+        else:
+            if len(self.levels) >= self.most:
+                self.levels.popitem(last=False)
+            self.levels[number] = Level(f"{self.prefix}{number:08d}")
+        return self.levels[number]
+
+
 @dataclass
 class Trie:
-    """Where the levels lie, and what is known of the whole: files of words by leading hash bits, files of pairs by first key."""
+    """Where the levels lie, and what is known of the whole: per file of words its number and the words and tokens before it, per file of pairs its first key."""
 
-    words: dict[int, str]
+    folder: str
     word_bits: int
-    word_base: dict[int, tuple[int, int]]  # number of words and of tokens before the file
+    word_files: np.ndarray
+    words_before: np.ndarray
+    tokens_before: np.ndarray
     tokens: int
     types: int
     texts: int
-    pairs: list[tuple[int, str]]
+    first_keys: np.ndarray
+    pair_files: np.ndarray
     prior: float
 
     def load(self) -> None:
-        self.word_level = {k: Level(p) for k, p in self.words.items()}
-        self.pair_level = [(k, Level(p)) for k, p in self.pairs]
-        self.first_keys = np.array([k for k, _ in self.pairs], _U)
+        self.word_level, self.pair_level = Opened(f"{self.folder}/words-"), Opened(f"{self.folder}/pairs-")
 
     @property
     def start(self) -> int:
@@ -70,15 +89,16 @@ class Trie:
         number, count, before = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
         bucket = (hashes >> _U(64 - self.word_bits)).astype(np.int64)
         for b in np.unique(bucket):
-            if b not in self.word_level:
+            place = int(np.searchsorted(self.word_files, b))
+            if place == len(self.word_files) or self.word_files[place] != b:
                 continue
-            level = self.word_level[b]
+            level = self.word_level[int(b)]
             rows = slice(*np.searchsorted(bucket, [b, b + 1]))
             here = hashes[rows] - _U(level.facts["base"])
             here = np.minimum(here, _U(level.facts["universe"]))
             at, found = level.sequence["hash"].successor(here)
             found &= hashes[rows] - _U(level.facts["base"]) == here
-            words, tokens = self.word_base[b]
+            words, tokens = self.words_before[place], self.tokens_before[place]
             i = at[found]
             running = level.sequence["running"].access(np.concatenate((i, i + 1))).astype(np.int64)
             out = np.nonzero(found)[0] + rows.start
@@ -90,14 +110,12 @@ class Trie:
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Kept logarithms for sorted keys (context, word); NaN where the pair is unknown."""
         out = np.full(len(keys), np.nan)
-        if not len(self.pairs):
+        if not len(self.first_keys):
             return out
-        file = np.searchsorted(self.first_keys, keys, side="right") - 1
-        cuts = np.searchsorted(file, np.arange(len(self.pairs) + 1))
-        for k, (_, level) in enumerate(self.pair_level):
-            rows = slice(cuts[k], cuts[k + 1])
-            if rows.start == rows.stop:
-                continue
+        place = np.searchsorted(self.first_keys, keys, side="right") - 1
+        for k in np.unique(place[place >= 0]):
+            rows = slice(*np.searchsorted(place, [k, k + 1]))
+            level = self.pair_level[int(self.pair_files[k])]
             context, word = (keys[rows] >> _U(32)).astype(np.int64) - level.facts["context"], (keys[rows] & _U(0xFFFFFFFF)).astype(np.int64)
             some = np.nonzero(context < level.facts["contexts"])[0]
             mine, again = np.unique(context[some], return_inverse=True)
@@ -149,9 +167,9 @@ def _word_files(folder: str):
                 hashes, n = rows["hash"].to_numpy()[mine].view(_U), rows["n"].to_numpy()[mine]
                 running = np.concatenate(([0], np.cumsum(n)))
                 base, universe = int(hashes[0]), int(hashes[-1] - hashes[0]) + 1
-                path = f"{folder}/words-{b:06d}"
+                path = f"{folder}/words-{b:08d}"
                 save(path, {"hash": (hashes - hashes[0], universe), "running": (running, int(running[-1]) + 1)}, {}, {"base": base, "universe": universe})
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([int(b)], pa.int32()), "path": [path], "words": [len(hashes)], "tokens": [int(running[-1])]})
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([int(b)], pa.int32()), "words": [len(hashes)], "tokens": [int(running[-1])]})
 
     return run
 
@@ -215,7 +233,7 @@ def _pair_files(trie: Trie, key: str, folder: str):
         path = f"{folder}/pairs-{file:08d}"
         relative = (context - first).astype(_U) * _U(t.types + 1) + word.astype(_U)
         save(path, {"pointer": (pointer, len(keys) + 1), "successor": (relative, contexts * (t.types + 1))}, {"log": log}, {"context": first, "contexts": contexts})
-        return pa.RecordBatch.from_pydict({"first": pa.array([int(keys[0].view(np.int64))]), "path": [path]})
+        return pa.RecordBatch.from_pydict({"first": pa.array([int(keys[0].view(np.int64))]), "file": [file]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = worker_state(key, lambda: (trie.load(), trie)[1])
@@ -241,8 +259,9 @@ def _counts_of(t: Trie, numbers: np.ndarray) -> np.ndarray:
     """Counts of known words by number (0 for the start of a text)."""
     distinct, again = np.unique(numbers, return_inverse=True)
     count = np.zeros(len(distinct), np.int64)
-    for b, (base, _) in t.word_base.items():
-        running = t.word_level[b].sequence["running"]
+    place = np.searchsorted(t.words_before, distinct, side="right") - 1
+    for k in np.unique(place[place >= 0]):
+        base, running = int(t.words_before[k]), t.word_level[int(t.word_files[k])].sequence["running"]
         rows = slice(*np.searchsorted(distinct, [base, base + running.n - 1]))
         if rows.start < rows.stop:
             i = distinct[rows] - base
@@ -268,23 +287,23 @@ def train(docs: DataFrame, prior: float = PRIOR, file_pairs: int = FILE_PAIRS, f
     texts = docs.select(text_of().alias("text"))
     counts = cut(texts.mapInArrow(_word_counts, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).filter("n > 0"), "word-counts")
     types = counts.count()
+    if types >= 2**32 - 1:
+        raise ValueError("words are numbered in 32 bits; this many need wider keys")
     bits = max(1, int(-(-types // file_words) - 1).bit_length())
     bucket = F.shiftrightunsigned("hash", 64 - bits).cast("int")
     dealt = counts.withColumn("bucket", bucket).repartition(2**bits, "bucket").sortWithinPartitions("bucket", "hash")
-    files = sorted(dealt.mapInArrow(_word_files(folder), "bucket int, path string, words long, tokens long").collect())  # a row a file
-    trie = Trie({r.bucket: r.path for r in files}, bits, {}, 0, types, 0, [], prior)
-    words = 0
-    for r in files:
-        trie.word_base[r.bucket] = (words, trie.tokens)
-        words, trie.tokens = words + r.words, trie.tokens + r.tokens
+    files = sorted(dealt.mapInArrow(_word_files(folder), "bucket int, words long, tokens long").collect())  # a row a file
+    words, tokens = (np.array([0, *(r[c] for r in files)], np.int64).cumsum() for c in ("words", "tokens"))
     ends = counts.filter(F.col("hash") == int(np.uint64(END).view(np.int64))).first()
-    trie.texts = int(ends.n) if ends else 0
+    none = np.zeros(0, np.int64)
+    trie = Trie(folder, bits, np.array([r.bucket for r in files], np.int64), words[:-1], tokens[:-1], int(tokens[-1]), types, int(ends.n) if ends else 0, none.astype(_U), none, prior)
     if types:
         key = uuid.uuid4().hex
         n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(trie.tokens + trie.texts) // (4 * file_pairs)))
         blocks = texts.mapInArrow(_pair_counts(trie, key, file_pairs), "file long, block binary").repartition(n, "file").sortWithinPartitions("file")
-        made = blocks.mapInArrow(_pair_files(trie, key, folder), "first long, path string").collect()  # a row a file
-        trie.pairs = sorted((r.first & (2**64 - 1), r.path) for r in made)
+        made = blocks.mapInArrow(_pair_files(trie, key, folder), "first long, file long").collect()  # a row a file
+        order = np.argsort(np.array([r.first for r in made], np.int64).view(_U), kind="stable")
+        trie.first_keys, trie.pair_files = np.array([r.first for r in made], np.int64).view(_U)[order], np.array([r.file for r in made], np.int64)[order]
     return trie
 
 
@@ -331,7 +350,8 @@ def language_scores(docs: DataFrame, prior: float = PRIOR, file_pairs: int = FIL
 
     The model learns from all rows whose crc32 of the id, mod 5, is not 1; a row without an id teaches nothing and its held_out
     is null. A null text is an empty one: a single end token. Scores are sums of base-10 logarithms over a text's tokens.
-    Repeated rows teach and score each by itself; other columns play no part; with nothing to learn from every token is unknown.
+    Repeated rows teach and score each by itself; a very long text is scored whole; other columns play no part; an empty table gives no rows; with nothing to
+    learn from every token is unknown.
     """
     trie = train(docs.filter(fold() != 1), prior, file_pairs)
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
