@@ -125,16 +125,16 @@ def with_chances(weights: DataFrame, keep: float = KEEP) -> DataFrame:
     return weights.withColumn("mix_chance", F.least(F.col("mix_weight") * F.lit(scale), F.lit(1.0)))
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, topic: Column | None = None, tokens: Column | None = None, sweeps: int = SWEEPS, flatten: dict[str, float] | None = None, keep: float = KEEP, few_cells: int = FEW_CELLS, most_sweeps: int = MOST_SWEEPS) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, topic: Column | None = None, tokens: Column | None = None, sweeps: int = SWEEPS, flatten: dict[str, float] | None = None, keep: float = KEEP, few_cells: int = FEW_CELLS, most_sweeps: int = MOST_SWEEPS, extras: bool = True) -> DataFrame:
     """The drawn rows of docs with mix_topic, mix_tokens, mix_weight and mix_chance; other columns as they are.
 
-    Columns of docs with one of these four names are replaced. A null source or language counts as the value '', a null text as the empty text.
+    Columns of docs with one of these four names are replaced; without extras the result has the columns of docs, unchanged, and no others. A null source or language counts as the value '', a null text as the empty text.
     Where the id is null the text decides the draw; rows of equal id are drawn together. A very long text is drawn like any other, whole. An empty
     table gives no rows. Every row has a chance: sampling is what this operator does. The rows drawn hold, in expectation, the target
     shares, but for cells that the budget keep (a share of the tokens) makes it take whole: those hold less than their share, and no
     document is repeated.
     """
-    names = [n for n in docs.columns if n.lower() not in OUT]
+    names = [n for n in docs.columns if not extras or n.lower() not in OUT]
     own = [F.col("`" + n.replace("`", "``") + "`") for n in names]
     x = fresh(names, "raking")
     keys = [f"{x}_{m}" for m in MARGINS]
@@ -151,7 +151,7 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, top
         salt = f"{x}_salt"
         joined = rows.withColumn(salt, F.floor(F.col(f"{x}_draw") % SALT).cast("int")).join(side.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), [*keys, salt])
     drawn = joined.filter((F.col(f"{x}_draw") + 0.5) / F.lit(4294967296.0) < F.col(f"{x}_chance"))
-    return drawn.select(*own, *(F.col(f"{x}_{c}").alias(f"mix_{c}") for c in ("topic", "tokens", "weight", "chance")))
+    return drawn.select(*own, *(F.col(f"{x}_{c}").alias(f"mix_{c}") for c in ("topic", "tokens", "weight", "chance") if extras))
 
 
 def oracle(table: str = "documents", sweeps: int = SWEEPS) -> str:

@@ -187,3 +187,5 @@ def test_mixing_on_either_side_of_few_cells(spark):
     few, many = mixing.mix(docs), mixing.mix(docs, few_cells=1)
     assert few.columns == ["doc_id", "text", "lang", "source", "score", "raking_source", "mix_topic", "mix_tokens", "mix_weight", "mix_chance"]
     assert chances(few) == chances(many) and few.count() > 0
+    plain = mixing.mix(docs, extras=False)
+    assert plain.columns == docs.columns and sorted(map(tuple, plain.collect()), key=repr) == sorted(map(tuple, docs.join(few.select("doc_id"), "doc_id", "left_semi").collect()), key=repr)

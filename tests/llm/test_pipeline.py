@@ -61,3 +61,10 @@ def test_stages_take_odd_rows(spark, name, stage):
 def test_packing_stage_writes_the_ids(spark):
     rows = pipeline.packed(spark, spark.createDataFrame(corpus()[:20], SCHEMA), "").collect()
     assert rows and all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in rows)
+
+
+def test_filters_without_labels_keep_all(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame(corpus(20), SCHEMA)
+    for stage in (pipeline.quality, pipeline.toxicity):
+        assert stage(spark, docs, str(tmp_path)).count() == docs.count()
