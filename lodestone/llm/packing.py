@@ -77,25 +77,30 @@ class WordIds:
                 self.words.update(zip(some, self.encode(some)))
 
     def learn(self, unseen: list[str]) -> None:
-        cut_up, odd = [], []
+        ones, marked, cut_up, odd = [], [], [], []  # a word; a word and a mark; anything else to be cut; what the tokenizer cuts itself
         together = "\n".join(unseen)
         special = [x for x in self.special if x in together]
-        for s in unseen:
+        for s in unseen if self.joins else ():
             # below U+0250 lower case and composition are the same for every version of Unicode and letter by letter, but for a capital I with
             # a dot: its lower case ends in a combining dot, which is no letter and joins the mark after it
-            if not self.joins or not (s.isascii() or (max(s) < "\u0250" and _WHOLE.isdisjoint(s))) or any(x in s for x in special):
+            if not s.isascii() and (max(s) >= "\u0250" or not _WHOLE.isdisjoint(s)) or special and any(x in s for x in special):
                 odd.append(s)
             elif s.isalpha():
-                cut_up.append((s, [s.lower()]))
+                ones.append(s)
             elif s[-1:] in _MARKS and s[:-1].isalpha():
-                cut_up.append((s, [s[:-1].lower(), s[-1]]))
+                marked.append(s)
             else:
                 cut_up.append((s, _PARTS.findall(s.lower())))
-        new = list({w for _, parts in cut_up for w in parts}.difference(self.words))
+        odd = odd if self.joins else unseen
+        low, bare = [s.lower() for s in ones], [s[:-1].lower() for s in marked]
+        every = set(low).union(bare, (s[-1] for s in marked), *(parts for _, parts in cut_up))
+        new = list(every.difference(self.words))
         if len(self.words) + len(new) > self.room:
-            self.words, new = {}, list({w for _, parts in cut_up for w in parts})
+            self.words, new = {}, list(every)
         self.learn_words(new)
         get = self.words.__getitem__
+        self.stretches.update(zip(ones, map(get, low)))
+        self.stretches.update((s, get(w) + get(s[-1])) for s, w in zip(marked, bare))
         self.stretches.update((s, b"".join(map(get, parts))) for s, parts in cut_up)
         self.stretches.update(zip(odd, self.encode(odd)))
 
