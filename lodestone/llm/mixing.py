@@ -48,18 +48,26 @@ def _few(cells: DataFrame, most: int) -> bool:
     return cells.limit(most + 1).count() <= most
 
 
-def _with_goals(cells: DataFrame, targets: dict[str, dict[str, float]] | None, flatten: dict[str, float]) -> DataFrame:
-    total = F.broadcast(cells.agg(F.sum("tokens").cast("double").alias("total")))  # one row, like the sums below
+def _margins(cells: DataFrame, *columns: str) -> DataFrame:
+    """A row (margin, value, ...) for each margin of each cell, with the columns (name or name_margin) that are asked for."""
+    named = lambda m, c: F.col(f"{c}_{m}" if f"{c}_{m}" in cells.columns else c).alias(c)
+    return cells.select(F.explode(F.array(*(F.struct(F.lit(m).alias("margin"), F.col(m).alias("value"), *(named(m, c) for c in columns)) for m in MARGINS))).alias("x")).select("x.*")
+
+
+def _with_goals(cells: DataFrame, targets: dict[str, dict[str, float]] | None, flatten: dict[str, float], few: bool) -> DataFrame:
+    """cells with goal_source, goal_lang and goal_topic; totals are three numbers, which go through the driver."""
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    shares = F.lit(None).cast("double")
     for m in MARGINS:
-        values = cells.groupBy(m).agg(F.sum("tokens").alias("t")).crossJoin(total)
+        share = F.pow(F.col("t") / F.lit(total), F.lit(flatten[m]))
         if targets and m in targets:
-            shares = F.create_map(*[F.lit(x) for kv in sorted(targets[m].items()) for x in kv])
-            goal = F.coalesce(shares[F.col(m)].cast("double"), F.lit(0.0))
-        else:
-            goal = F.pow(F.col("t") / F.col("total"), F.lit(flatten[m]))
-        values = values.withColumn("g", goal)
-        values = values.crossJoin(F.broadcast(values.agg(F.sum("g").alias("sum_g"))))
-        cells = cells.join(values.select(m, (F.col("g") / F.col("sum_g") * F.col("total")).alias(f"goal_{m}")), m)
+            share = F.coalesce(F.create_map(*[F.lit(x) for kv in sorted(targets[m].items()) for x in kv])[F.col("value")].cast("double"), F.lit(0.0))
+        shares = F.when(F.col("margin") == m, share).otherwise(shares)
+    values = cut(_margins(cells, "tokens").groupBy("margin", "value").agg(F.sum("tokens").alias("t")).withColumn("g", shares), "rake-values")
+    sums = {r.margin: r.s for r in values.groupBy("margin").agg(F.sum("g").alias("s")).collect()}
+    for m in MARGINS:
+        goals = values.filter(F.col("margin") == m).select(F.col("value").alias(m), (F.col("g") / F.lit(sums.get(m, 1.0)) * F.lit(total)).alias(f"goal_{m}"))
+        cells = cells.join(F.broadcast(goals) if few else goals, m)
     return cells
 
 
@@ -74,10 +82,10 @@ def _swept(cells: DataFrame, few: bool) -> DataFrame:
     return cells
 
 
-def _gap(cells: DataFrame) -> float:
+def _gap(cells: DataFrame, total: float) -> float:
     """How far the worst value of any margin is from its goal, as a share of all tokens."""
-    far = [cells.groupBy(m).agg(F.abs(F.sum("weight") - F.first(f"goal_{m}")).alias("far")).agg(F.max("far")).first()[0] or 0.0 for m in MARGINS]
-    return max(far) / max(cells.agg(F.sum("tokens")).first()[0] or 1, 1)
+    sums = _margins(cells, "weight", "goal").groupBy("margin", "value").agg(F.abs(F.sum("weight") - F.first("goal")).alias("far"))
+    return (sums.agg(F.max("far")).first()[0] or 0.0) / max(total, 1.0)
 
 
 def raked(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, flatten: dict[str, float] | None = None, sweeps: int = SWEEPS, most_sweeps: int = MOST_SWEEPS, few_cells: int = FEW_CELLS) -> DataFrame:
@@ -88,17 +96,18 @@ def raked(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None,
     """
     flatten = {"source": FLATTEN, "lang": FLATTEN, "topic": 1.0} | (flatten or {})
     few = _few(cells, few_cells)
-    cells = cut(_with_goals(cells, targets, flatten).withColumn("weight", F.col("tokens").cast("double")), "rake-goals")
+    cells = cut(_with_goals(cells, targets, flatten, few).withColumn("weight", F.col("tokens").cast("double")), "rake-goals")
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     done, steps = 0, 4 if few else 1
     while done < most_sweeps:
         for _ in range(min(steps, sweeps)):
             cells = _swept(cells.coalesce(1) if few else cells, few)
             done += 1
         cells = cut(cells, "rake")
-        if done % sweeps == 0 and _gap(cells) <= TOLERANCE:
+        if done % sweeps == 0 and _gap(cells, total) <= TOLERANCE:
             break
     else:
-        warnings.warn(f"a margin is still {_gap(cells):.2g} of all tokens from its target after {done} sweeps", stacklevel=2)
+        warnings.warn(f"a margin is still {_gap(cells, total):.2g} of all tokens from its target after {done} sweeps", stacklevel=2)
     return cells.drop(*(f"goal_{m}" for m in MARGINS))
 
 
