@@ -39,14 +39,15 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/lodestone/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
+def cut(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again.
 
-    Later stages then start from files that outlive any executor, are computed once, and carry sizes for the planner.
+    Later stages then start from files that outlive any executor, are computed once, and carry sizes for the planner. Where it is known that
+    there are at most so many rows, and little to compute for each, a task writes 100,000 of them, so that small tables are few files.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(-(-max(rows, 1) // 100_000))).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out

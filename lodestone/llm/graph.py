@@ -26,11 +26,11 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut(large, "large-star")
+        large = cut(large, "large-star", 2 * seen[0])
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
         small = small.union(low.select("u", F.col("m").alias("v"))).distinct()
-        before, now = now, cut(small, "small-star")
+        before, now = now, cut(small, "small-star", 2 * seen[0])
         forget(before), forget(large)
         state = _state(now)
         if state == seen:

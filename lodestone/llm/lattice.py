@@ -241,7 +241,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, tables: int | None
     found = cut(found, "vector-links")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
-    linked = cut(roots.join(classes.select("cid", "first"), F.col("node") == F.col("cid")).select("cid", "root", "first"), "linked-vectors")
+    linked = cut(roots.join(classes.select("cid", "first"), F.col("node") == F.col("cid")).select("cid", "root", "first"), "linked-vectors", count)
     lowest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     named = linked.join(lowest, "root").select("cid", "component_id")
     facts = classes.select("cid", "n", "first").join(links, "cid", "left").join(named, "cid", "left")

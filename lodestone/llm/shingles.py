@@ -243,17 +243,18 @@ def links(marks: DataFrame, classes: DataFrame, given: DataFrame, least: float,
     met = marks.select("key", F.explode("buckets").alias("bucket")).distinct()
     crowd = met.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     met = cut(met.join(crowd, "bucket"), "buckets")  # only where classes meet
+    n_met = met.count()
     central = met.groupBy("key").agg(F.sum("n").alias("meets"))
     hubs = met.join(central, "key").groupBy("bucket").agg(F.max(F.struct("meets", "key")).alias("hub"))
-    hubs = cut(hubs.select("bucket", F.col("hub.key").alias("b")), "bucket-hubs")
+    hubs = cut(hubs.select("bucket", F.col("hub.key").alias("b")), "bucket-hubs", n_met)
     stars = met.join(hubs, "bucket").filter("key <> b").select(F.greatest("key", "b").alias("a"), F.least("key", "b").alias("b"))
     stars = stars.union(given.select(F.greatest("a", "b"), F.least("a", "b"))).distinct()
-    stars = cut(likely(stars, classes, least), "bucket-stars")
-    found = cut(verified(stars, sets, least), "star-links")
+    stars = cut(likely(stars, classes, least), "bucket-stars", n_met + given.count())
+    found = cut(verified(stars, sets, least), "star-links", stars.count())
     roots = components(found)
     rooted = met.filter("n > 2").join(roots, F.col("key") == F.col("node"), "left").select("bucket", "n", "key", F.coalesce("root", "key").alias("root"))
     several = rooted.groupBy("bucket").agg((F.min("root") < F.max("root")).alias("several")).filter("several").select("bucket")
-    rooted = cut(rooted.join(several, "bucket", "left_semi"), "mixed-buckets")
+    rooted = cut(rooted.join(several, "bucket", "left_semi"), "mixed-buckets", n_met)
     if rooted.isEmpty():
         return found, roots
     needed = rooted.select("key").distinct()

@@ -155,9 +155,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     play no part; an empty table gives no rows.
     """
     fps = cut(fingerprints(docs, doc_id, text, width), "fingerprints")
-    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-classes")
+    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-classes", fps.count())
     roots = components(links(classes.select("fp"), bits, block=block))
-    linked = cut(roots.join(classes, roots.node == classes.fp).select("fp", "root", "first"), "linked-classes")
+    linked = cut(roots.join(classes, roots.node == classes.fp).select("fp", "root", "first"), "linked-classes", classes.count())
     lowest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     named = linked.join(lowest, "root").select("fp", "component_id")
     every = classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
@@ -175,13 +175,14 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).withColumn("h", F.xxhash64("text"))
     marks = cut(shingles.signatures(source.select("doc_id", "h", "text"), width), "shingle-signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("first")
-    classes = cut(marks.groupBy("key").agg(first, F.min("fp").alias("fp"), F.min("minima").alias("minima")), "shingle-classes")
-    of_fp = cut(classes.groupBy("fp").agg(F.min("key").alias("low"), F.count("*").alias("n")), "fingerprint-classes")
+    classes = cut(marks.groupBy("key").agg(first, F.min("fp").alias("fp"), F.min("minima").alias("minima")), "shingle-classes", marks.count())
+    n = classes.count()
+    of_fp = cut(classes.groupBy("fp").agg(F.min("key").alias("low"), F.count("*").alias("n")), "fingerprint-classes", n)
     same = classes.join(of_fp.filter("n > 1"), "fp").filter("key <> low").select(F.col("key").alias("a"), F.col("low").alias("b"))
     near = links(of_fp.select("fp"), bits).select(F.col("a").alias("fa"), F.col("b").alias("fb"))
     near = near.join(of_fp.select(F.col("fp").alias("fa"), F.col("low").alias("a")), "fa").join(of_fp.select(F.col("fp").alias("fb"), F.col("low").alias("b")), "fb").select("a", "b")
     _, roots = shingles.links(marks, classes, cut(same.union(near), "near-fingerprints"), similarity)
-    linked = cut(roots.join(classes, roots.node == classes.key).select("key", "root", "first"), "linked-classes")
+    linked = cut(roots.join(classes, roots.node == classes.key).select("key", "root", "first"), "linked-classes", n)
     named = linked.join(linked.groupBy("root").agg(F.min("first").alias("lowest")), "root").select("key", "lowest")
     every = classes.join(named, "key", "left").select("key", F.coalesce("lowest", "first").alias("lowest"))
     return marks.select("doc_id", "h", "key").join(every, "key").select("doc_id", "h", F.col("lowest.doc_id").alias("first_id"), F.col("lowest.h").alias("first_h"))
@@ -194,8 +195,9 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simi
     """
     found = cut(similar_groups(docs, doc_id, text, similarity, width), "similar-groups")
     is_first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h"))
-    gone = cut(found.filter(~is_first).select("doc_id", "h").distinct(), "group-others")
-    again = cut(found.filter(is_first).groupBy("doc_id", "h").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "h"), "repeated-firsts")
+    n = found.count()
+    gone = cut(found.filter(~is_first).select("doc_id", "h").distinct(), "group-others", n)
+    again = cut(found.filter(is_first).groupBy("doc_id", "h").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "h"), "repeated-firsts", n)
     x = fresh(docs.columns, "row")
     own = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
     rows = docs.select(*own, F.col(doc_id).cast("long").alias(f"{x}_id"), F.xxhash64(text_of(text)).alias(f"{x}_h"))
