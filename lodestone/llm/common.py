@@ -13,10 +13,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Spark counts a long as missing only when it is null; this stands for "no id" inside numpy code.
-NO_ID = np.int64(-(2**63))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table of that name, whatever store its folder is in."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
