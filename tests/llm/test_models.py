@@ -184,8 +184,8 @@ def test_targets_that_cannot_be_met_end_in_a_warning(spark):
 def test_mixing_on_either_side_of_few_cells(spark):
     docs = spark.createDataFrame(corpus(), SCHEMA).withColumnsRenamed({"fp": "mix_topic", "length": "raking_source", "n": "Mix_Tokens"})
     chances = lambda d: sorted(((r.doc_id, round(r.mix_chance, 9), r.mix_topic, r.mix_tokens) for r in d.collect()), key=repr)
-    few, many = mixing.mix(docs), mixing.mix(docs, few_cells=1)
+    few, many = mixing.mix(docs, most_sweeps=4, sweeps=4), mixing.mix(docs, most_sweeps=4, sweeps=4, few_cells=1)
     assert few.columns == ["doc_id", "text", "lang", "source", "score", "raking_source", "mix_topic", "mix_tokens", "mix_weight", "mix_chance"]
     assert chances(few) == chances(many) and few.count() > 0
-    plain = mixing.mix(docs, extras=False)
+    plain = mixing.mix(docs, most_sweeps=4, sweeps=4, extras=False)
     assert plain.columns == docs.columns and sorted(map(tuple, plain.collect()), key=repr) == sorted(map(tuple, docs.join(few.select("doc_id"), "doc_id", "left_semi").collect()), key=repr)

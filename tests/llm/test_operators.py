@@ -274,9 +274,9 @@ def test_raking_meets_the_targets(spark, docs, none):
     for m, shares in targets.items():
         for v, share in shares.items():
             assert abs(sum(r.weight for r in got if r[m] == v) / total - share) < 1e-6
-    drawn = mixing.mix(docs)
+    drawn = mixing.mix(docs, most_sweeps=4, sweeps=4)
     assert drawn.columns[: len(docs.columns)] == docs.columns and 0 < drawn.count() <= docs.count()
-    assert rows_of(drawn, "doc_id") == rows_of(mixing.mix(docs.repartition(7)), "doc_id") and mixing.mix(none).count() == 0
+    assert rows_of(drawn, "doc_id") == rows_of(mixing.mix(docs.repartition(7), most_sweeps=4, sweeps=4), "doc_id") and mixing.mix(none).count() == 0
 
 
 def test_rare_values_do_not_set_the_rate_of_mixing(spark):
